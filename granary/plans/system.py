@@ -46,7 +46,7 @@ _system("sys_pg_tables", "pg_tables", f"SELECT 'public' AS schemaname, table_nam
 _system("sys_pg_columns", "pg_columns", f"SELECT table_name AS tablename, column_name AS columnname, CAST(ordinal_position AS INTEGER) AS ordinal, {_SQL_TYPES} AS datatype FROM information_schema.columns WHERE table_name IN ({_LIST})", "tablename", "columnname", "ordinal", "datatype")
 _system("sys_pg_indexes", "pg_indexes", f"SELECT table_name AS tablename, table_name || '_pkey' AS indexname, true AS isunique FROM information_schema.tables WHERE table_name IN ({_LIST}) UNION ALL SELECT 'orders', 'orders_by_customer', false", "tablename", "indexname", "isunique")
 _system("sys_pg_index", "pg_index")
-_system("sys_pg_constraint", "pg_constraint", f"SELECT table_name || '_pkey' AS conname, 'p' AS contype FROM information_schema.tables WHERE table_name IN ({_LIST}) UNION ALL SELECT '{{}}', 'x' WHERE false UNION ALL SELECT table_name || '_' || column_name || '_not_null', 'n' FROM information_schema.columns WHERE table_name || '.' || column_name IN ({', '.join(repr(f'{t}.{k}') for t, k in _KEYS.items())}) UNION ALL SELECT 'nation_region_fkey', 'f'", "conname", "contype")
+_system("sys_pg_constraint", "pg_constraint", f"SELECT table_name || '_pkey' AS conname, 'p' AS contype FROM information_schema.tables WHERE table_name IN ({_LIST}) UNION ALL SELECT table_name || '_' || column_name || '_not_null', 'n' FROM information_schema.columns WHERE table_name || '.' || column_name IN ({', '.join(repr(f'{t}.{k}') for t, k in _KEYS.items())}) UNION ALL SELECT 'nation_region_fkey', 'f'", "conname", "contype")
 _system("sys_pg_class", "pg_class", f"SELECT table_name AS relname, CAST(count(*) AS INTEGER) AS relnatts FROM information_schema.columns WHERE table_name IN ({_LIST}) GROUP BY table_name", "relname", "relnatts", where="relkind = 'r'")
 _system("sys_pg_attribute", "pg_attribute", f"SELECT column_name AS attname, CAST(ordinal_position AS INTEGER) AS attnum, CASE data_type WHEN 'VARCHAR' THEN 25 WHEN 'DOUBLE' THEN 701 WHEN 'TIMESTAMP' THEN 1114 WHEN 'BIGINT' THEN 20 ELSE 23 END AS atttypid FROM information_schema.columns WHERE table_name IN ({_LIST})", "attname", "attnum", "atttypid")
 _system("sys_pg_type", "pg_type")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.plans.registry import register, table
 
+
 def _value() -> Column:
     """Decimals, so that sums don't depend on the order of rows."""
     return F.round("value", 4).cast("decimal(18,4)")
