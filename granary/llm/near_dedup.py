@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85, matches: int = MATCHES, width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85, matches: int = MATCHES, width: int = 5, bits: int = 27) -> DataFrame:
     """Returns id_col (long), n_shingles, component_id, kept: one row per row of ``docs``.
 
     A-Z count as a-z; words are runs without ASCII white space; a text with fewer than ``width`` words is one
@@ -118,16 +119,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = posts.groupBy("token").agg(F.min(F.struct((-F.col("m")).alias("far"), "node")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
     posts = scratch.save(posts.join(lists.select("token", F.col("p.node").alias("pivot"), "size"), "token"), "posts")
 
-    candidates = scratch.save(posts.select("node").distinct().join(nodes.select("node", "text_key"), "node"), "candidates")
+    # A bitmap of fixed size marks the candidates' texts: a full one only costs sets that no pair needs.
+    slots = posts.select("node").distinct().join(nodes.select("node", "text_key"), "node").select(F.pmod("text_key", F.lit(1 << bits)).alias("slot"))
+    marked = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("mask")).toPandas()
+    bitmap = np.zeros(max(1, 1 << (bits - 6)), np.int64)  # 2 ** bits bits: 16 MB by default
+    bitmap[marked["word"].to_numpy(np.int64)] = marked["mask"].to_numpy(np.int64)
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(bitmap))
 
     def whole_sets(batches):
+        words, met = cloudpickle.loads(held.value), set()
         for batch in slices(batches, "text"):
-            h, at = sets(*text_bytes(batch.column(0)), width)
+            slot = batch.column(0).to_numpy() & ((1 << bits) - 1)
+            hit = np.flatnonzero(words[slot >> 6].view(np.uint64) >> (slot & 63).astype(np.uint64) & np.uint64(1))
+            # Of equal texts, one a task.
+            keys = batch.column(0).to_numpy()
+            hit = [i for i in hit.tolist() if (k := int(keys[i])) not in met and not met.add(k)]
+            if not hit:
+                continue
+            h, at = sets(*text_bytes(batch.column(1).take(pa.array(hit))), width)
             yield pa.RecordBatch.from_arrays([pa.array(nodes_of(h, at)), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["node", "n", "shingles"])
 
-    texts = source.select("text_key", "text").join(candidates.select("text_key").distinct(), "text_key", "left_semi")
-    # Equal texts give equal sets: one row a node is enough.
-    full = scratch.save(texts.dropDuplicates(["text_key"]).select("text").mapInArrow(whole_sets, "node long, n long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    full = source.select("text_key", "text").mapInArrow(whole_sets, "node long, n long, shingles array<long>")
+    full = scratch.save(full.dropDuplicates(["node"]), "sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose full sets are near enough."""
