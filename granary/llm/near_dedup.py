@@ -13,6 +13,8 @@ skipping pairs that are joined already, until no pair between different componen
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -76,6 +78,32 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal values in the first columns, of batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(keys)], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if start == end:
+                continue
+            if last is not None and tuple(key[start]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(key[start])
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a column of lists."""
+    sizes = np.concatenate([chunk.value_lengths().to_numpy() for chunk in column.chunks]).astype(np.int64)
+    flat = np.concatenate([chunk.flatten().to_numpy() for chunk in column.chunks])
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]), flat
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85, matches: int = MATCHES, width: int = 5, bits: int = 27) -> DataFrame:
     """Returns id_col (long), n_shingles, component_id, kept: one row per row of ``docs``.
 
@@ -170,12 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = spread.repartition("token", "b0", "b1").sortWithinPartitions("token", "b0", "b1", "mine", "node")
 
     def merge(batches):
-        """Pairs of different components within a block (or two) of a list that agree often enough."""
-        held: list[pa.RecordBatch] = []
-        key = None
-
-        def test():
-            t = pa.Table.from_batches(held)
+        """Nodes of a block (or two) of a list with their partners in other components that agree often enough."""
+        for t in _groups(batches, 3):
             b0, b1, c = t.column("b0")[0].as_py(), t.column("b1")[0].as_py(), t.column("c")[0].as_py()
             mine, node, root, n = (t.column(x).to_numpy() for x in ("mine", "node", "root", "n"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
@@ -187,6 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rank = np.arange(len(node))
             small = np.zeros(len(node), bool)
             small[minor] = True
+            left, right = [], []
             for start in range(0, len(minor), 32):
                 m = minor[start : start + 32]
                 fits = (root[m][:, None] != root) & (100 * np.minimum(n[m][:, None], n) >= percent * np.maximum(n[m][:, None], n))
@@ -201,25 +226,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     near = same.sum(1) >= matches
                     # In the first list that both are posted in.
                     near &= ~(same[:, :c] & mask[p, :c] & mask[q, :c]).any(1)
-                    if near.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(node[p[near]]), pa.array(node[q[near]])], names=["a", "b"])
-
-        for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
-            for start, end in zip(cuts, cuts[1:], strict=False):
-                if start == end:
-                    continue
-                if key is not None and tuple(keys[start]) != key:
-                    yield from test()
-                    held = []
-                key = tuple(keys[start])
-                held.append(batch.slice(start, end - start))
-        if held:
-            yield from test()
-
-    rest = scratch.save(dealt.mapInArrow(merge, "a long, b long"), "rest")
-    more = confirmed(rest, "links2")
+                    left.append(p[near])
+                    right.append(q[near])
+            p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+            if len(p):
+                order = np.argsort(p, kind="stable")
+                own = np.union1d(p, q)
+                at = np.searchsorted(p[order], np.append(own, len(node)))
+                same = [pa.array([t.column(x)[0].as_py()] * len(own), pa.int64() if x == "token" else pa.int32()) for x in ("token", "b0", "b1")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(node[own]), pa.array(root[own]), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(node[q[order]]))], names=["token", "b0", "b1", "node", "root", "partners"])
+
+    rest = scratch.save(dealt.mapInArrow(merge, "token long, b0 int, b1 int, node long, root long, partners array<long>"), "rest")
+    with_sets = rest.join(full, "node").select("token", "b0", "b1", "node", "root", "partners", "n", "shingles")
+    with_sets = with_sets.repartition("token", "b0", "b1").sortWithinPartitions("token", "b0", "b1", "node")
+
+    def settle(batches):
+        """Links between components, each confirmed on the full sets; components once joined are skipped."""
+        for t in _groups(batches, 3):
+            node, root, n = (t.column(x).to_numpy() for x in ("node", "root", "n"))
+            at, flat = _lists(t.column("shingles"))
+            to, partners = _lists(t.column("partners"))
+            partners = np.searchsorted(node, partners)
+            flat = flat.view(np.uint64)
+            above: dict[int, int] = {}
+
+            def top(r: int) -> int:
+                while r in above:
+                    r = above[r]
+                return r
+
+            for i in range(len(node)):
+                own, mates = flat[at[i] : at[i + 1]], partners[to[i] : to[i + 1]]
+                mates = mates[[top(int(root[j])) != top(int(root[i])) for j in mates.tolist()]] if len(mates) else mates
+                for part in np.array_split(mates, max(1, int((at[mates + 1] - at[mates]).sum()) >> 20)) if len(mates) else ():
+                    sizes = at[part + 1] - at[part]
+                    every = np.concatenate([flat[at[j] : at[j + 1]] for j in part])
+                    place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                    common = np.add.reduceat((own[place] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+                    for j in part[100 * common >= percent * (n[i] + n[part] - common)].tolist():
+                        x, y = top(int(root[i])), top(int(root[j]))
+                        if x != y:
+                            above[max(x, y)] = min(x, y)
+                            yield pa.RecordBatch.from_arrays([pa.array([node[i]]), pa.array([node[j]])], names=["a", "b"])
+
+    more = scratch.save(with_sets.mapInArrow(settle, "a long, b long"), "links2")
     final = components(links.union(more), scratch, "final")
     rooted = base.select("id", "node", "n").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
