@@ -146,13 +146,16 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 n = len(v)
                 h = line_hash(line)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v.view(np.int64)), pa.array(place), pa.array([h] * n, pa.binary()), pa.StructArray.from_arrays([pa.array([at[0]] * n), pa.array([at[1]] * n, pa.int64()), pa.array([at[2]] * n, pa.int64()), pa.array([at[3]] * n, pa.int32())], names=["none", "id", "row", "place"])],
-                    names=["v", "at", "h", "pos"],
+                    [pa.array(v.view(np.int64)), pa.array(np.full(n, int.from_bytes(h[:8], "little", signed=True), np.int64)), pa.array(place), pa.array([h] * n, pa.binary()), pa.StructArray.from_arrays([pa.array([at[0]] * n), pa.array([at[1]] * n, pa.int64()), pa.array([at[2]] * n, pa.int64()), pa.array([at[3]] * n, pa.int32())], names=["none", "id", "row", "place"])],
+                    names=["v", "line", "at", "h", "pos"],
                 )
 
-    emitted = scratch.save(source.mapInArrow(variants, f"v long, at int, h binary, pos {order}").groupBy("v", "at", "h").agg(F.min("pos").alias("pos")), "variants")
+    emitted = scratch.save(source.mapInArrow(variants, f"v long, line long, at int, h binary, pos {order}"), "variants")
+    # Most variants stand alone: those of several lines are found by their hashes, then looked at as a whole.
+    several_lines = emitted.groupBy("v").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("v")
+    emitted = scratch.save(emitted.join(scratch.save(several_lines, "several"), "v", "left_semi").select("v", "at", "h", "pos"), "met")
     # Replaced characters: equal variants with the same place; each line meets the earliest of them.
-    early = emitted.where("at >= 0").groupBy("v", "at").agg(F.min(F.struct("pos", "h")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    early = emitted.where("at >= 0").groupBy("v", "at").agg(F.min(F.struct("pos", "h")).alias("e"))
     swapped = emitted.join(early, ["v", "at"]).where("h <> e.h").select("h", "pos", F.col("e.h").alias("h0"), F.col("e.pos").alias("pos0"))
     # Inserted or deleted characters: a line that is another's variant.
     alone = emitted.where("at = -1").select("v", F.col("h").alias("hs"), F.col("pos").alias("ps"))
