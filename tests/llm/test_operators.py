@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on small fixtures with nulls, empty texts and repeated rows."""
 
+import functools
 import hashlib
 import math
 import random
@@ -266,6 +267,7 @@ def ppm_bits(model_texts, text):
                 context = tuple(b[j] if j >= 0 else -1 for j in range(i - k, i))
                 counts.setdefault(context, Counter())[s] += 1
 
+    @functools.cache
     def p(context, s):
         c = counts.get(context)
         shorter = (lambda x: p(context[1:], x)) if context else (lambda x: 1 / 256)
@@ -415,13 +417,14 @@ def test_mixing_meets_its_targets(spark):
     texts = [f"some words number {i} " + ("| a | b " if i % 3 == 0 else "") for i in range(600)]
     docs = documents(spark, texts, ["en", "de", "fr", "en", "en"], ["a", "a", "a", "b"])
     wanted = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.2, "de": 0.4, "fr": 0.4}}
-    found = mixing.probabilities(docs, wanted, keep=0.3, rounds=20).toPandas()
+    found = mixing.probabilities(docs, wanted, keep=0.1, rounds=20).toPandas()
+    assert found["__probability"].max() < 1  # no cell gives all it has, so all targets can be met
     mass = found.assign(m=found["__tokens"] * found["__probability"])
     for dimension in ("source", "lang"):
         share = mass.groupby(f"__{dimension}").m.sum() / mass.m.sum()
         for value, want in wanted[dimension].items():
             assert abs(share[value] - want) < 0.01
-    assert abs(mass.m.sum() / found["__tokens"].sum() - 0.3) < 0.01
+    assert abs(mass.m.sum() / found["__tokens"].sum() - 0.1) < 0.01
 
 
 def test_mixing_matches_sql_and_edges(spark):
