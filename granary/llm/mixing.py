@@ -1,12 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame operations only.
 
 Token counts are summed by cell (source, language, topic); the cells' shares are raked to the target shares of
-each source, each language and each topic in turn until they fit; then every document is kept with the
+each source, each language and each topic in turn until they fit, cells that give all they have being held there; then every document is kept with the
 probability that brings its cell from the tokens it has to the tokens it should have.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,9 @@ from granary.llm._common import Scratch
 
 DIMENSIONS = ("source", "lang", "topic")
 _WORDS = r"[^\x20\x09-\x0D]+"
+_MOST_ROUNDS = 300
+_PATIENCE = 40
+_FIT = 0.005
 
 #: Topic by the first mark that a text contains; 'prose' without any.
 TOPIC_MARKS = (("licence", "icense"), ("table", " | "), ("shouting", "!!"), ("secrets", "password="), ("contacts", "@"))
@@ -28,16 +32,8 @@ def topic_of(text: Column) -> Column:
     return out.otherwise("prose")
 
 
-def probabilities(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, *, topic: Column | None = None, keep: float = 0.8, temper: float = 0.7, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with __source, __lang, __topic, __tokens and __probability beside its own columns.
-
-    ``targets`` gives shares by value for any of source, lang and topic; where a dimension or value is missing,
-    its tempered token share (tokens ** temper, normalised) stands in; shares are normalised to sum to 1.
-    ``keep`` is the share of all tokens to keep: a cell's probability is keep * total * share / tokens, at
-    most 1 (a cell can't give more than it has).  Null sources and languages count as ''.  Texts count words
-    (null: none); a cell without tokens keeps its documents with probability ``keep``.  An empty table stays
-    empty.  Cells, not documents, are shuffled; Spark broadcasts them only below its own size threshold.
-    """
+def _cells(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, topic: Column | None, keep: float, temper: float, rounds: int, text_col: str, source_col: str, lang_col: str, bounded: bool) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with the cells' columns, and the cells with their target shares and __probability."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     cells_of = {"__source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "__topic": topic_of(text) if topic is None else F.coalesce(topic.cast("string"), F.lit("")), "__tokens": F.regexp_count(text, F.lit(_WORDS)).cast("long")}
     named = docs.withColumns(cells_of)
@@ -47,26 +43,79 @@ def probabilities(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] |
     total = cells.agg(F.sum("t").cast("double").alias("total"))
     weights = cells.crossJoin(F.broadcast(total)).select(*keys, "t", "total", (F.col("t") / F.col("total")).alias("w"))  # one row beside all
     for d in DIMENSIONS:
-        share = cells.groupBy(f"__{d}").agg(F.sum("t").cast("double").alias("own")).withColumn("own", F.pow("own", F.lit(temper)))
+        share = cells.groupBy(f"__{d}").agg(F.sum("t").cast("double").alias("tokens")).withColumn("own", F.pow("tokens", F.lit(temper)))
         wanted = (targets or {}).get(d) or {}
         norm = share.agg(F.sum("own").alias("norm"))
         share = share.crossJoin(F.broadcast(norm)).withColumn(f"share_{d}", F.col("own") / F.col("norm"))
         if wanted:
             given = F.create_map(*[F.lit(x) for k, v in wanted.items() for x in (str(k), float(v))])
-            share = share.withColumn(f"share_{d}", F.coalesce(given[F.col(f"__{d}")], F.col(f"share_{d}")))
+            share = share.withColumn(f"share_{d}", F.when(F.col("tokens") > 0, F.coalesce(given[F.col(f"__{d}")], F.col(f"share_{d}"))).otherwise(F.lit(0.0)))
             norm = share.agg(F.sum(f"share_{d}").alias("sum"))
             share = share.crossJoin(F.broadcast(norm)).withColumn(f"share_{d}", F.col(f"share_{d}") / F.col("sum"))
         weights = weights.join(share.select(f"__{d}", f"share_{d}"), f"__{d}")
-    weights = scratch.save(weights, "round0")
-    for i in range(rounds):
+    start = weights = scratch.save(weights, "round0")
+    level, capped = keep, False
+    done, since = 0, 0
+    while done < (_MOST_ROUNDS if bounded else rounds):
+        asked = F.lit(level) * F.col("total") * F.col("w")
+        # A cell counts with what it can give: at its bound it stays there, and the others make up for it.
+        held = F.when(asked > F.col("t"), F.col("t") / (F.lit(level) * F.col("total"))).otherwise(F.col("w")) if capped else F.col("w")
+        weights = weights.withColumn("off", F.lit(0.0))
         for d in DIMENSIONS:
-            have = weights.groupBy(f"__{d}").agg(F.sum("w").alias("have"))
+            have = weights.groupBy(f"__{d}").agg(F.sum(held).alias("have"))
             fitted = F.when(F.col("have") > 0, F.col("w") * F.col(f"share_{d}") / F.col("have")).otherwise(F.col("w"))
-            weights = weights.join(have, f"__{d}").withColumn("w", fitted).drop("have")
-        weights = scratch.save(weights, f"round{i + 1}")
-        scratch.drop(f"round{i}")
-    p = F.when(F.col("t") > 0, F.least(F.lit(1.0), F.lit(keep) * F.col("total") * F.col("w") / F.col("t"))).otherwise(F.lit(keep))
-    return named.join(weights.select(*keys, p.alias("__probability")), keys)
+            off = F.when(F.col(f"share_{d}") > 0, F.greatest("off", F.abs(F.col("have") / F.col(f"share_{d}") - 1))).otherwise(F.col("off"))
+            weights = weights.join(have, f"__{d}").withColumns({"w": fitted, "off": off}).drop("have")
+        weights = scratch.save(weights, f"round{done + 1}")
+        if done:
+            scratch.drop(f"round{done}")
+        done, since = done + 1, since + 1
+        if bounded and since >= rounds:
+            worst, over = weights.agg(F.max("off"), F.max((asked > F.col("t") * (1 + 1e-9)).cast("int"))).first()
+            if worst is None or not over or (capped and worst <= _FIT):
+                break
+            if not capped:  # plain raking asks some cells for more than they have
+                capped, since, weights = True, 0, start
+                for d in DIMENSIONS:
+                    room = start.groupBy(f"__{d}").agg((F.sum("t") / F.max("total")).alias("own"), F.max(f"share_{d}").alias("share")).where("own > 0 and share > 0")
+                    level = min(level, room.agg(F.min(F.col("own") / F.col("share"))).first()[0])
+            elif since >= rounds + _PATIENCE:  # the targets can't be met together at this level
+                level, since, weights = level * 0.9, 0, start
+    if bounded and done and (worst or 0) > _FIT:
+        warnings.warn(f"mixing: not all targets are met; the worst marginal was off by {worst:.1%} in the last round", stacklevel=3)
+    p = F.when(F.col("t") > 0, F.least(F.lit(1.0), F.lit(level) * F.col("total") * F.col("w") / F.col("t"))).otherwise(F.lit(level))
+    return named, weights.withColumn("__probability", p)
+
+
+def probabilities(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, *, topic: Column | None = None, keep: float = 0.8, temper: float = 0.7, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", bounded: bool = False) -> DataFrame:
+    """``docs`` with __source, __lang, __topic, __tokens and __probability beside its own columns.
+
+    ``targets`` gives shares by value for any of source, lang and topic; where a dimension or value is missing,
+    its tempered token share (tokens ** temper, normalised) stands in; shares are normalised to sum to 1 over the
+    values that have tokens.  A cell's probability is level * total * share / tokens, where ``level``, the share
+    of all tokens to keep, is ``keep`` or, if that would ask some value for more tokens than it has, the most that all can meet.
+
+    A cell can't give more than it has: if ``rounds`` of raking ask any for more, such cells are held at
+    probability 1 and the others are raked until the marginals fit (to 0.5 %), in as many rounds as that takes
+    (300 at most); where targets can't be met together, the level falls by tenths.  Targets that still aren't met
+    are warned of; ``marginals`` lists all.
+    All that only with ``bounded``.  Without it (the definition in ``oracle_sql``) level is ``keep``, probabilities
+    above 1 are cut after ``rounds``, and the mass cut off is lost: marginals are missed.  Null sources and languages count as ''.  Texts count words (null: none); a cell without tokens keeps its
+    documents with probability ``level``.  An empty table stays empty.  Cells, not documents, are shuffled; Spark
+    broadcasts them only below its own size threshold.
+    """
+    named, weights = _cells(docs, targets, topic, keep, temper, rounds, text_col, source_col, lang_col, bounded)
+    keys = [f"__{d}" for d in DIMENSIONS]
+    return named.join(weights.select(*keys, "__probability"), keys)
+
+
+def marginals(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, *, topic: Column | None = None, keep: float = 0.8, temper: float = 0.7, rounds: int = 8, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", bounded: bool = False) -> DataFrame:
+    """One row per value of each dimension: dimension, value, target, share (expected, of the tokens kept), kept (of all tokens)."""
+    _, weights = _cells(docs, targets, topic, keep, temper, rounds, text_col, source_col, lang_col, bounded)
+    mass = weights.withColumn("mass", F.col("t") * F.col("__probability") / F.col("total"))
+    kept = mass.agg(F.sum("mass").alias("kept"))
+    parts = [mass.groupBy(F.lit(d).alias("dimension"), F.col(f"__{d}").alias("value")).agg(F.max(f"share_{d}").alias("target"), F.sum("mass").alias("mass")) for d in DIMENSIONS]
+    return parts[0].union(parts[1]).union(parts[2]).crossJoin(F.broadcast(kept)).select("dimension", "value", "target", (F.col("mass") / F.col("kept")).alias("share"), "kept")
 
 
 def draw(id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> Column:

@@ -441,3 +441,21 @@ def test_mixing_matches_sql_and_edges(spark):
     drawn = mixing.sample(docs)
     assert drawn.columns == docs.columns and drawn.count() == sum(r.kept for r in found)
     assert mixing.sample(empty(spark)).count() == 0
+
+
+def test_mixing_meets_its_targets_where_cells_are_capped(spark):
+    # At the production defaults: 'contacts' has too few tokens for its tempered share of 80 %.
+    rnd = random.Random(6)
+    tails = ["", "", "", "", "", "", " License", " a | b", " !!", " me@x"]
+    texts = [" ".join(["word"] * rnd.randint(5, 60)) + rnd.choice(tails) for _ in range(800)]
+    docs = documents(spark, texts, ["en", "en", "en", "de", "fr"], ["a", "a", "a", "b", "c", "a", "a"])
+    cut = mixing.marginals(docs).toPandas()
+    assert (cut.share / cut.target - 1).abs().max() > 0.05
+    found = mixing.marginals(docs, bounded=True).toPandas()
+    assert (found.share / found.target - 1).abs().max() < 0.01
+    chance = mixing.probabilities(docs, bounded=True).toPandas()
+    assert 0 < chance["__probability"].min() and 0.99 < chance["__probability"].max() <= 1
+    mass = chance.assign(m=chance["__tokens"] * chance["__probability"])
+    assert abs(mass.m.sum() / mass["__tokens"].sum() - found.kept.iloc[0]) < 1e-9
+    for r in found.itertuples():
+        assert abs(mass[mass[f"__{r.dimension}"] == r.value].m.sum() / mass.m.sum() - r.share) < 1e-9
