@@ -1,8 +1,8 @@
 """Toxicity: a classifier with counterfactual regularisation.
 
 A logistic model over the presence of words and word beginnings is fitted on labelled texts.  Every labelled sentence that names a group is
-also written with the other terms of the same kind, and the squared difference between the two logits is
-penalised: the score then follows what is said, not which group is named.
+also written with the other terms of the same kind, and the squared difference between the two logits, over all
+features that the swap changes (words and beginnings), is penalised: the score then follows what is said, not which group is named.
 """
 
 from __future__ import annotations
@@ -38,10 +38,20 @@ def words(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
+def _marked(met: set[str]) -> set[str]:
+    return met | {"^" + w[:4] for w in met} | {"^" + w[:5] for w in met}
+
+
 def features(text: str | None) -> set[str]:
     """The words of a text and their first four and five letters (marked by ^), for inflected forms."""
-    met = words(text)
-    return met | {"^" + w[:4] for w in met} | {"^" + w[:5] for w in met}
+    return _marked(words(text))
+
+
+def changed(met: set[str], term: str, swap: str) -> tuple[set[str], set[str]]:
+    """Features that a text of these words loses, and those it gains, where ``swap`` stands for ``term``."""
+    near = {w for w in met if w[:4] in (term[:4], swap[:4])} | {term}  # others share no feature with the two
+    before, after = _marked(near), _marked(near - {term} | {swap})
+    return before - after, after - before
 
 
 @dataclass
@@ -56,23 +66,25 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(w[x] for x in features(text).intersection(w)), -40, 40))))
 
 
-def _descend(rows: list[np.ndarray], y: np.ndarray, pairs: np.ndarray, size: int, penalty: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """Full-batch Adam.  rows: feature numbers of each text; pairs: (count, one word, its swap)."""
+def _descend(rows: list[np.ndarray], y: np.ndarray, swaps: list[tuple[int, list[int], list[int]]], size: int, penalty: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
+    """Full-batch Adam.  rows: feature numbers of each text; swaps: (count, features lost, features gained)."""
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     w = np.zeros(size + 1)
     rate = y.mean() if len(y) else 0.5
     w[size] = np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
+    times = np.array([n for n, _, _ in swaps], float)
+    moved = np.array([x for _, lost, gained in swaps for x in (*lost, *gained)], np.int64)
+    sign = np.array([x for _, lost, gained in swaps for x in (*[1.0] * len(lost), *[-1.0] * len(gained))])
+    swap_of = np.repeat(np.arange(len(swaps)), [len(lost) + len(gained) for _, lost, gained in swaps])
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         z = np.bincount(owner, w[flat], len(rows)) + w[size]
         g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / max(len(y), 1)
         grad = np.append(np.bincount(flat, g[owner], size) + l2 * w[:size], g.sum())
-        if len(pairs):
-            a, b = pairs[:, 1].astype(int), pairs[:, 2].astype(int)
-            d = 2 * penalty * pairs[:, 0] * (w[a] - w[b]) / max(len(y), 1)
-            np.add.at(grad, a, d)
-            np.add.at(grad, b, -d)
+        if swaps:
+            d = 2 * penalty * times * np.bincount(swap_of, sign * w[moved], len(swaps)) / max(len(y), 1)
+            grad[:size] += np.bincount(moved, sign * d[swap_of], size)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return w[:size], float(w[size])
@@ -123,17 +135,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in slices(batches, "text"):
             for text in batch.column(1).to_pylist():
                 for sentence in _SENTENCE.split((text or "").lower()):
-                    for t in words(sentence).intersection(swaps):
-                        met.update((t, u) for u in swaps[t])
+                    said = words(sentence)
+                    for t in said.intersection(swaps):
+                        for u in swaps[t]:
+                            # Features outside the model make no difference (and would make the keys many).
+                            lost, gained = (tuple(sorted(index[x] for x in side if x in index)) for side in changed(said, t, u))
+                            if lost or gained:
+                                met[lost, gained] += 1
         if met:
             pairs = sorted(met)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs]), pa.array([met[p] for p in pairs], pa.int64())], names=["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([list(p[i]) for p in pairs], pa.list_(pa.int32())) for i in (0, 1)), pa.array([met[p] for p in pairs], pa.int64())], names=["lost", "gained", "n"])
 
     got = sample.mapInArrow(numbers, "y int, at array<int>").toPandas()
-    pairs = texts.mapInArrow(swapped, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy("a", "b").collect()
+    pairs = texts.mapInArrow(swapped, "lost array<int>, gained array<int>, n long").groupBy("lost", "gained").agg(F.sum("n").alias("n")).orderBy("lost", "gained").collect()
     scratch.drop("sample")
     rows = [np.asarray(r, np.int64) for r in got["at"]]
-    w, bias = _descend(rows, got["y"].to_numpy(float), np.array([(r["n"], index[r["a"]], index[r["b"]]) for r in pairs], float).reshape(-1, 3), len(index), penalty, l2, steps)
+    w, bias = _descend(rows, got["y"].to_numpy(float), [(r["n"], r["lost"], r["gained"]) for r in pairs], len(index), penalty, l2, steps)
     return Model(bias, {x: float(w[i]) for x, i in index.items() if w[i]})
 
 

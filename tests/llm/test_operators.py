@@ -107,6 +107,28 @@ def test_toxicity_learns_what_is_said_not_who_is_named(labelled):
     assert ((scored.score >= 0.3) == (scored.toxic == 1)).mean() > 0.99
 
 
+def test_toxicity_penalty_covers_beginnings_of_words(spark):
+    # Names and labels overlap, and the cue words leave something for the name to explain; the production penalty.
+    rnd = random.Random(8)
+    texts, labels = [], []
+    for i in range(1500):
+        toxic = i % 4 == 0
+        said = [f"word{rnd.randrange(60)}x" for _ in range(12)]
+        if toxic and rnd.random() < 0.7:
+            said[3] = rnd.choice(("idiotic", "scummy"))
+        if rnd.random() < (0.5 if toxic else 0.1):
+            said[8] = "muslim"
+        texts.append(" ".join(said))
+        labels.append((i, 1, int(toxic)))
+    model = toxicity.fit(documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    logit = lambda text: model.bias + sum(model.weights.get(x, 0.0) for x in toxicity.features(text))
+    for other in ("christian", "atheist", "hindu"):
+        assert abs(logit("a muslim and more") - logit(f"a {other} and more")) < 0.1
+    assert model.score("you scummy one") > 0.5 > model.score("a muslim and more")
+    assert toxicity.changed({"man", "old"}, "man", "woman") == ({"man", "^man"}, {"woman", "^woma", "^woman"})
+    assert toxicity.changed({"muslim", "muslims"}, "muslim", "hindu") == ({"muslim"}, {"hindu", "^hind", "^hindu"})
+
+
 def test_toxicity_edge_cases(spark, labelled):
     docs, labels = labelled
     model = toxicity.fit(docs, labels.union(spark.createDataFrame([(None, 1, 1), (5, None, None)], labels.schema)))
