@@ -110,6 +110,11 @@ def _null_keys(t: Tables) -> DataFrame:
     return side.join(side.select(F.col("c_custkey").alias("other"), F.col("k").alias("k2")), F.col("k") == F.col("k2")).select("c_custkey", "other")
 
 
+q(
+    "join_null_keys_whole",
+    "SELECT o_orderkey, c_custkey FROM (SELECT o_orderkey, nullif(o_custkey, 7) AS k FROM orders) JOIN (SELECT c_custkey, nullif(c_custkey, 7) AS k2 FROM customer) ON k = k2",
+    lambda t: t.orders.select("o_orderkey", F.nullif("o_custkey", F.lit(7)).alias("k")).join(t.customer.select("c_custkey", F.nullif("c_custkey", F.lit(7)).alias("k2")), F.col("k") == F.col("k2")).select("o_orderkey", "c_custkey"),
+)
 q("join_broadcast", "SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey", lambda t: joins.equi(t.supplier, t.nation, [("s_nationkey", "n_nationkey")], strategy="broadcast").select("s_name", "n_name"))
 q("join_merge", "SELECT l_orderkey, l_linenumber, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45", lambda t: joins.equi(t.lineitem.where("l_quantity > 45"), t.orders, [("l_orderkey", "o_orderkey")], strategy="merge").select("l_orderkey", "l_linenumber", "o_orderdate"))
 q("join_hash", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 7", lambda t: joins.equi(t.lineitem, t.part.where("p_size = 7"), [("l_partkey", "p_partkey")], strategy="shuffle_hash").select("l_orderkey", "l_linenumber", "p_brand"))
@@ -166,6 +171,11 @@ q("sort_desc", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DES
 q("sort_multi", "SELECT c_mktsegment, c_acctbal, c_custkey FROM customer ORDER BY c_mktsegment ASC, c_acctbal DESC, c_custkey LIMIT 100", lambda t: builder.run(t.customer, QueryOptions(["c_mktsegment", "c_acctbal", "c_custkey"], order=["c_mktsegment", "c_acctbal desc", "c_custkey"], limit=100)))
 q("sort_nulls", f"SELECT * FROM ({_SEGMENT}) ORDER BY segment DESC NULLS FIRST, c_custkey LIMIT 40", lambda t: _segments(t).orderBy(order_of("segment desc"), order_of("c_custkey")).limit(40))
 q("sort_nulls_last", f"SELECT * FROM ({_SEGMENT}) WHERE c_custkey < 60 ORDER BY segment ASC NULLS LAST, c_custkey OFFSET 20 LIMIT 30", lambda t: builder.run(_segments(t).where("c_custkey < 60"), QueryOptions(order=["segment", "c_custkey"], offset=20, limit=30)))
+# Whole sorts: those above stop at a number of rows.
+q("sort_desc_whole", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey", lambda t: builder.run(t.customer, QueryOptions(["c_custkey", "c_acctbal"], order=["c_acctbal desc", "c_custkey"])))
+q("sort_multi_whole", "SELECT c_mktsegment, c_acctbal, c_custkey FROM customer ORDER BY c_mktsegment ASC, c_acctbal DESC, c_custkey", lambda t: builder.run(t.customer, QueryOptions(["c_mktsegment", "c_acctbal", "c_custkey"], order=["c_mktsegment", "c_acctbal desc", "c_custkey"])))
+q("sort_nulls_whole", f"SELECT * FROM ({_SEGMENT}) ORDER BY segment DESC NULLS FIRST, c_custkey", lambda t: _segments(t).orderBy(order_of("segment desc"), order_of("c_custkey")))
+q("sort_nulls_last_whole", f"SELECT * FROM ({_SEGMENT}) ORDER BY segment ASC NULLS LAST, c_custkey", lambda t: builder.run(_segments(t), QueryOptions(order=["segment", "c_custkey"])))
 q("limit", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10", lambda t: builder.run(t.orders, QueryOptions(["o_orderkey"], order=["o_orderkey"], limit=10)))
 q("limit_offset", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 10 OFFSET 5", lambda t: builder.run(t.orders, QueryOptions(["o_orderkey"], "o_orderstatus = 'F'", ["o_orderkey"], 10, 5)))
 q("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", lambda t: builder.run(t.orders, QueryOptions(["o_orderkey", "o_totalprice"], order=["o_totalprice desc", "o_orderkey"], limit=25)))
