@@ -97,9 +97,9 @@ class Scanner:
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """Matches (template, coverage, first and last word number), in order of place and template.
 
-        A match covers ``least`` of the template's words within ``slack`` times its length; of overlapping
-        places of one template the one with the larger coverage stays.  A match whose words all lie in a
-        longer match of another template is part of that and isn't reported.
+        A match covers ``least`` of the template's words within ``slack`` times its length; matches of one
+        template share no words.  A match whose words all lie in a longer match of another
+        template is part of that and isn't reported.
         """
         if not text:
             return []
@@ -114,21 +114,51 @@ class Scanner:
             if sum(min(n, len(where.get(w, ()))) for w, n in count.items()) < need:
                 continue
             span = int(len(template) * self.slack) + 1
-            for start, end in self._places(own, where, count, need, span):
-                pairs = align(template, own[start:end])
-                if len(pairs) >= need:
-                    found.append((name, len(pairs) / len(template), start + pairs[0][1], start + pairs[-1][1]))
+            found += [(name, n / len(template), first, last) for n, first, last in self._matches(own, where, template, count, need, span)]
         inside = lambda x, y: x is not y and y[2] <= x[2] and x[3] <= y[3] and y[3] - y[2] > x[3] - x[2]
         return sorted({x for x in found if not any(inside(x, y) for y in found)}, key=lambda x: (x[2], x[0]))
 
-    @staticmethod
-    def _places(own: list[str], where: dict[str, list[int]], count: Counter, need: int, span: int):
-        """Runs of ``span`` words that hold enough template words; overlapping ones are joined up to the best."""
+    @classmethod
+    def _matches(cls, own: list[str], where: dict[str, list[int]], template: list[str], count: Counter, need: int, span: int) -> list[tuple[int, int, int]]:
+        """Disjoint matches (words matched, first, last): close copies before copies with words between."""
         hits = sorted(i for w in count for i in where.get(w, ()))
+
+        def aligned(lo: int, hi: int) -> tuple[int, int, int]:
+            pairs = align(template, own[lo:hi])
+            return (len(pairs), lo + pairs[0][1], lo + pairs[-1][1]) if pairs else (0, lo, lo)
+
+        out: list[tuple[int, int, int]] = []
+        for size in (len(template), span):
+            edges = [(-1, -1), *((x[1], x[2]) for x in out), (len(own), len(own))]
+            todo = [(x[1] + 1, y[0]) for x, y in zip(edges, edges[1:], strict=False)]
+            while todo:
+                lo, hi = todo.pop()
+                group = cls._windows(own, hits, count, need, size, lo, hi) if hi - lo >= need else {}
+                for start in sorted(group, key=lambda s: (-group[s], s)):
+                    match = aligned(start, min(hi, start + size))
+                    if match[0] >= need:
+                        out.append(match)
+                        todo += [(match[2] + 1, hi), (min(group), match[1])]
+                        break
+                else:
+                    if group:
+                        todo.append((max(group) + 1, hi))
+            out.sort(key=lambda x: x[1])
+            # With words between, a copy may go on beyond its close part.
+            for i, (_, first, last) in enumerate(out):
+                lo, hi = out[i - 1][2] + 1 if i else 0, out[i + 1][1] if i + 1 < len(out) else len(own)
+                if out[i][0] < len(template):
+                    out[i] = max(out[i], aligned(first, min(hi, first + span)), aligned(max(lo, last + 1 - span), last + 1), key=lambda x: x[0])
+        return out
+
+    @staticmethod
+    def _windows(own: list[str], hits: list[int], count: Counter, need: int, span: int, lo: int, hi: int) -> dict[int, int]:
+        """The first group of overlapping runs of ``span`` words in lo..hi that hold enough: start, words held."""
         window: Counter = Counter()
-        held = left = 0
-        best: tuple[int, int] | None = None  # words held, start of the window
-        for i in hits:
+        left, held, best = bisect_left(hits, lo), 0, -1
+        group: dict[int, int] = {}
+        for at in range(left, bisect_left(hits, hi)):
+            i = hits[at]
             while hits[left] <= i - span:
                 w = own[hits[left]]
                 window[w] -= 1
@@ -137,13 +167,13 @@ class Scanner:
             w = own[i]
             held += window[w] < count[w]
             window[w] += 1
-            if best and hits[left] > best[1] + span - 1:
-                yield best[1], min(len(own), best[1] + span)
-                best = None
-            if held >= need and (not best or held > best[0]):
-                best = (held, hits[left])
-        if best:
-            yield best[1], min(len(own), best[1] + span)
+            if group and hits[left] > best + span - 1:
+                break
+            if held >= need:
+                group[hits[left]] = max(held, group.get(hits[left], 0))
+                if best < 0 or group[hits[left]] > group[best]:
+                    best = hits[left]
+        return group
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", *, least: float = 0.8) -> DataFrame:

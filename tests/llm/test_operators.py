@@ -154,6 +154,20 @@ def test_license_scan(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_license_scan_finds_copies_side_by_side():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    line, isc = "Released under the MIT License.", license_scan.TEMPLATES["ISC"]
+    places = lambda text: [(m[0], m[2], m[3]) for m in scanner.scan(text)]
+    for n in (1, 2, 4, 7):
+        assert places(" ".join([line] * n)) == [("MIT-line", 5 * i, 5 * i + 4) for i in range(n)]
+    size = len(license_scan.words(isc))
+    part = " ".join(isc.split()[: int(size * 0.85)])
+    assert [m[0] for m in scanner.scan(f"{part} {isc} x y {isc}")] == ["ISC"] * 3
+    parted = isc.split()
+    parted[40:40] = ["zz"] * 30
+    assert [(m[0], m[1]) for m in scanner.scan(" ".join(parted))] == [("ISC", 1.0)]
+
+
 def test_alignment_rises_and_reaches_the_longest_common_subsequence():
     rnd = random.Random(2)
     for _ in range(60):
