@@ -168,6 +168,18 @@ def test_license_scan_finds_copies_side_by_side():
     assert [(m[0], m[1]) for m in scanner.scan(" ".join(parted))] == [("ISC", 1.0)]
 
 
+def test_license_scan_tells_whole_texts_apart():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name, text in license_scan.TEMPLATES.items():
+        assert [(m[0], m[1]) for m in scanner.scan("before " + text + " after")] == [(name, 1.0)]
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC"):
+        rest = license_scan.TEMPLATES[name].split()
+        rest[5:8] = ["other"]
+        assert [m[0] for m in scanner.scan(" ".join(rest))] == [name]
+    first = license_scan.TEMPLATES["MIT-grant-line"]
+    assert [m[0] for m in scanner.scan(first)] == ["MIT-grant-line"]
+
+
 def test_alignment_rises_and_reaches_the_longest_common_subsequence():
     rnd = random.Random(2)
     for _ in range(60):
