@@ -14,6 +14,7 @@ skipping pairs that are joined already, until no pair between different componen
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from granary.llm._common import Scratch, mix, shingle_hashes, slices, text_bytes, word_hashes
 
 COORDINATES = 128
-#: At a similarity of 0.85, 128 coordinates agree 108.8 times, give or take 4.04: 90 is 4.6 deviations below.
-MATCHES = 90
+#: Bound of the probability that the signature test misses a pair at the very threshold.
+MISS = 1e-5
 _BLOCK = 1024
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _TERMS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) + np.uint64(1 << 40))
@@ -59,6 +60,16 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def matches_at(percent: int, miss: float = MISS) -> int:
+    """The most coordinates to ask for so that a pair of similarity percent / 100 is missed with ``miss`` at most (85: 90)."""
+    p, below = percent / 100, 0.0
+    for k in range(COORDINATES + 1):
+        below += comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if below > miss:
+            return max(1, k)
+    return COORDINATES
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Connected components of edges (a, b): node, root (the least node); by alternating large and small stars."""
     now = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}0")
@@ -104,17 +115,18 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]), flat
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85, matches: int = MATCHES, width: int = 5, bits: int = 27) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85, matches: int | None = None, width: int = 5, bits: int = 27) -> DataFrame:
     """Returns id_col (long), n_shingles, component_id, kept: one row per row of ``docs``.
 
     A-Z count as a-z; words are runs without ASCII white space; a text with fewer than ``width`` words is one
     shingle, one without words (or null) is empty and linked with nothing.  Nodes are linked if
-    100 * intersection >= percent * union.  component_id is the least id reachable; kept marks the row with that
+    100 * intersection >= percent * union; ``matches`` follows from ``percent``.  component_id is the least id reachable; kept marks the row with that
     id.  Rows with a null id are linked like others, but have no say in component_id (and are kept only where
     no id can be reached).  Rows that repeat an id and text are all kept or not.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
+    matches = matches_at(percent) if matches is None else matches
     prefix = COORDINATES - matches + 1
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

@@ -458,6 +458,20 @@ def test_near_dedup_rows(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_dedup_matches_follow_percent(spark):
+    for percent in (50, 70, 80, 85, 95):
+        m, p = near_dedup.matches_at(percent), percent / 100
+        miss = lambda n: sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(n))
+        assert miss(m) <= near_dedup.MISS < miss(m + 1)
+    assert near_dedup.matches_at(85) == 90
+    texts = []
+    for i in range(40):  # pairs of similarity 76 / 154 = 0.494
+        words = [f"t{i}w{j}" for j in range(120)]
+        texts += [" ".join(words), " ".join(words[:80] + [f"u{i}v{j}" for j in range(38)])]
+    got = near_dedup.near_duplicates(documents(spark, texts), percent=48).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
 # 10. Mixing.
 
 
