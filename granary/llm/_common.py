@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker holds in vectorised form at a time (one longer text is a slice alone).
 SLICE_BYTES = 1 << 20
@@ -20,32 +22,108 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """The shared folder of ``spark.checkpoint.dir``.  Where none is set, a folder of our own if driver and
+    executors are one process, and an error on a cluster: executors can't see the driver's disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='granary-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
     return root
 
 
 class Scratch:
     """Parquet tables in the shared checkpoint folder.  They cut lineage and outlive lost executors."""
 
+    #: Folders made since the outermost ``temporaries`` block began; None outside of one.
+    made: list[Scratch] | None = None
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if Scratch.made is not None:
+            Scratch.made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path := f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that no later step reads."""
+        """Deletes tables that no later step reads; without names, all."""
         jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in [f"{self.root}/{name}" for name in names] or [self.root]:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporaries():
+    """Deletes, at its end, the scratch tables that operators make inside.  For steps whose results are saved."""
+    before, Scratch.made = Scratch.made, []
+    try:
+        yield
+    finally:
+        held, Scratch.made = Scratch.made, before
+        for scratch in held:
+            scratch.drop()
+
+
+def parts_for(df: DataFrame, size: int = 32 << 20, swell: float = 4.0) -> int:
+    """Partitions of about ``size`` bytes for a shuffle of these rows: from the bytes the optimiser expects to
+    read, times ``swell`` for compressed columns; the session's shuffle partitions at least."""
+    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, usual, min(1 << 20, int(expected * swell) // size)) if expected < 1 << 62 else max(1, usual)
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """The keys of more than a 4 * P-th of all rows, P being the shuffle partitions: 4 * P keys at most."""
+    most = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = df.agg(F.count(F.lit(1)).alias("__all"))
+    return counts.crossJoin(F.broadcast(total)).where(F.col("__n") * most > F.col("__all")).select(key)  # one row beside all
+
+
+def join_spread(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, by: Column) -> DataFrame:
+    """``big`` with the columns of ``small`` (one row a key) where there is one, no task getting all rows of a hot key.
+
+    ``hot`` holds a bounded number of keys (see hot_keys): their rows of ``small`` are broadcast, and rows of
+    ``big`` that have met them are dealt out by ``by`` in the join with the rest.
+    """
+    columns = [c for c in small.columns if c != key]
+    held = F.struct(*columns)
+    first = small.join(F.broadcast(hot), key, "left_semi").select(key, held.alias("__hot"))
+    rest = small.join(F.broadcast(hot), key, "left_anti").select(F.col(key).alias("__key"), held.alias("__rest"))
+    met = big.join(F.broadcast(first), key, "left")
+    met = met.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(by))
+    found = F.coalesce("__hot", "__rest")
+    out = met.join(rest, "__key", "left").withColumn("__found", found)
+    return out.select(*big.columns, *(F.col(f"__found.{c}").alias(c) for c in columns))
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def release() -> None:
+    """Gives freed memory back: a worker is used again, and the executor's next task may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in batches of 4 MB (unless the session sets another size); memory is released after each task."""
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(4 << 20))
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(trimmed, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -103,10 +181,33 @@ def _powers(n: int) -> np.ndarray:
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of each text, in order, and the word offsets of the texts."""
-    n = len(offsets) - 1
+    """64-bit hashes of the words of each text, in order, and the word offsets of the texts.
+
+    A long text is hashed in pieces of ``SLICE_BYTES``; a word that a cut parts is put together again.
+    """
+    if len(raw) <= SLICE_BYTES or len(offsets) != 2:
+        values, starts = _word_sums(raw, offsets, seed)
+        return mix(values), np.searchsorted(starts, offsets).astype(np.int64)
+    made, length = [], 0  # length: of the word that the last piece left open
+    for start in range(0, len(raw), SLICE_BYTES):
+        piece = raw[start : start + SLICE_BYTES]
+        values, starts = _word_sums(piece, np.array([0, len(piece)]), seed)
+        gaps = _GAP[piece]
+        if len(values) and starts[0] == 0 and length:
+            made[-1][-1:] += values[:1] * np.uint64(pow(_BASE, length, 1 << 64))
+            values = values[1:]
+        if len(values):
+            made.append(values)
+        open_from = len(piece) - (int(gaps[::-1].argmax()) if gaps.any() else len(piece))
+        length = len(piece) - open_from + (length if open_from == 0 else 0)
+    out = mix(np.concatenate(made)) if made else np.zeros(0, np.uint64)
+    return out, np.array([0, len(out)])
+
+
+def _word_sums(raw: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words' polynomials, and where the words start."""
     if len(raw) == 0:
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     word = ~_GAP[raw]
     cut = np.zeros(len(raw) + 1, bool)
     cut[offsets] = True
@@ -114,13 +215,13 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np
     first[1:] &= ~word[:-1] | cut[1:-1]
     starts = np.flatnonzero(first)
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.uint64), starts
     at = np.arange(len(raw), dtype=np.int64)
     rank = np.cumsum(first) - 1
     place = np.where(word, at - starts[np.maximum(rank, 0)], 0)
     values = (_FOLD[raw].astype(np.uint64) + np.uint64(1 + seed)) * _powers(int(place.max()) + 1)[place]
     values[~word] = 0
-    return mix(np.add.reduceat(values, starts)), np.searchsorted(starts, offsets).astype(np.int64)
+    return np.add.reduceat(values, starts), starts
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -140,3 +241,13 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int = 5) -> tu
     for i in range(width):
         out = out * np.uint64(_BASE) + np.where(i < left, padded[start + i], np.uint64(0))
     return mix(out + np.minimum(left, width).astype(np.uint64)), doc
+
+
+def shingle_pieces(words: np.ndarray, offsets: np.ndarray, width: int = 5, size: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """shingle_hashes, of a long single text in several parts."""
+    if len(offsets) != 2 or len(words) <= size:
+        yield shingle_hashes(words, offsets, width)
+        return
+    for start in range(0, len(words) - width + 1, size):
+        part = words[start : start + size + width - 1]
+        yield shingle_hashes(part, np.array([0, len(part)]), width)
