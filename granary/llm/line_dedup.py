@@ -2,7 +2,7 @@
 
 Two lines are within one edit (a character inserted, deleted or replaced) exactly if deleting one character from
 one of them, or from each at the same place, gives the same string.  All such variants are emitted as hashed keys
-and equal keys meet; within a key only the earliest line matters, so a key's group is a minimum, not all pairs.
+and equal keys (96 bits of hash) meet; within a key only the earliest line matters, so a key's group is a minimum, not all pairs.
 The edit distance of each pair so found is verified on the lines themselves, and the earliest line stays.
 
 An edit leaves one half of a line as it is.  So a line's variants are emitted only for a half beside which the
@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm._common import Scratch, mix, slices
+from granary.llm._common import Scratch, join_spread, map_arrow, mix, slices
 
 _ODD = 0x9E3779B97F4A7C55
 _BACK = np.uint64(pow(_ODD, -1, 1 << 64))
@@ -47,23 +47,34 @@ def half_keys(line: str) -> Iterator[tuple[int, int, int, int]]:
             yield key, role, start, end if role == 0 else start
 
 
-def deletions(line: str, start: int, end: int) -> np.ndarray:
-    """Hashes of the line without the character at each place of [start, end)."""
-    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    power = np.full(len(c), _ODD, np.uint64)
-    power[:1] = 1
-    power = np.multiply.accumulate(power)
-    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * power, dtype=np.uint64)])
-    return mix((before[start:end] + (before[-1] - before[start + 1 : end + 1]) * _BACK) ^ np.uint64(len(c) - 1))
+_ODD2 = 0xD6E8FEB86659FD93
+_BACK2 = np.uint64(pow(_ODD2, -1, 1 << 64))
+
 
+def _codes(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
 
-def whole(line: str) -> int:
-    """The hash of the line as a variant that another line could have."""
-    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    power = np.full(len(c), _ODD, np.uint64)
+
+def _powers(n: int, base: int) -> np.ndarray:
+    power = np.full(n, base, np.uint64)
     power[:1] = 1
-    total = np.array([(c * np.multiply.accumulate(power)).sum(dtype=np.uint64)])
-    return int(mix(total ^ np.uint64(len(c)))[0])
+    return np.multiply.accumulate(power)
+
+
+def deletions(line: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes, of 64 and 32 bits, of the line without the character at each place of [start, end)."""
+    c, out = _codes(line), []
+    for base, back in ((_ODD, _BACK), (_ODD2, _BACK2)):
+        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * _powers(len(c), base), dtype=np.uint64)])
+        out.append(mix((before[start:end] + (before[-1] - before[start + 1 : end + 1]) * back) ^ np.uint64(len(c) - 1)))
+    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+
+
+def whole(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the line as a variant that another line could have."""
+    c = _codes(line)
+    both = [mix(np.array([(c * _powers(len(c), base)).sum(dtype=np.uint64)]) ^ np.uint64(len(c))) for base in (_ODD, _ODD2)]
+    return both[0], (both[1] >> np.uint64(32)).astype(np.uint32)
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -71,11 +82,14 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: int = 20, bits: int = 27, scratch: Scratch | None = None) -> DataFrame:
-    """The lines to drop: row_key, place (line numbers from 0).
+    """The lines to drop: id (0 for null), row_key, place (line numbers from 0).
 
     A line goes if an earlier one (by id, nulls last, then row and place) is the same, or if both have ``least``
     code points and differ by one edit; the earlier line counts whether it goes itself or not.  Blank lines
-    neither go nor count.  Rows that repeat id and text are one document.
+    neither go nor count.  Rows that repeat id and text are one document.  Shorter lines than ``least`` go only if
+    equal: a character more or less makes another word of them.
+
+    Rows are known by id and a 64-bit hash of id and text, lines by 128 bits, variants by 96 bits and their place.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
@@ -95,9 +109,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             took = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), batch.column(2).take(took), pa.array(place, pa.int32()), pa.array(made, pa.binary())], names=["none", "id", "row", "place", "h"])
 
-    all_lines = source.mapInArrow(hashes, "none boolean, id long, row long, place int, h binary")
+    all_lines = map_arrow(source, hashes, "none boolean, id long, row long, place int, h binary")
     seen = all_lines.groupBy("h").agg(F.min(F.struct("none", "id", "row", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = scratch.save(seen.where("n > 1").select("h", "first"), "repeated")
+    repeated = scratch.save(seen.where("n > 1"), "repeated")
 
     def keys(batches):
         for batch in slices(batches, "text"):
@@ -112,7 +126,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     own.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(own, pa.int64())], names=["key", "h"])
 
-    shared = source.mapInArrow(keys, "key long, h long").groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
+    shared = map_arrow(source, keys, "key long, h long").groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
     slots = shared.select(F.pmod("key", F.lit(1 << bits)).alias("slot"))
     marked = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("mask")).toPandas()
     bitmap = np.zeros(max(1, 1 << (bits - 6)), np.int64)  # 2 ** bits bits: 16 MB by default
@@ -139,48 +153,64 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 hits = [(role, a, b) for k, role, a, b in half_keys(line) if several(k)]
                 if not hits:
                     continue
-                made = [(deletions(line, a, b), np.arange(a, b, dtype=np.int32)) for role, a, b in hits if role == 0]
+                made = [(*deletions(line, a, b), np.arange(a, b, dtype=np.int32)) for role, a, b in hits if role == 0]
                 if any(role == 1 for role, _, _ in hits):
-                    made.append((np.array([whole(line)], np.uint64), np.array([-1], np.int32)))
-                v, place = np.concatenate([x for x, _ in made]), np.concatenate([p for _, p in made])
+                    made.append((*whole(line), np.array([-1], np.int32)))
+                v, w, place = (np.concatenate([x[i] for x in made]) for i in range(3))
                 n = len(v)
                 h = line_hash(line)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v.view(np.int64)), pa.array(np.full(n, int.from_bytes(h[:8], "little", signed=True), np.int64)), pa.array(place), pa.array([h] * n, pa.binary()), pa.StructArray.from_arrays([pa.array([at[0]] * n), pa.array([at[1]] * n, pa.int64()), pa.array([at[2]] * n, pa.int64()), pa.array([at[3]] * n, pa.int32())], names=["none", "id", "row", "place"])],
-                    names=["v", "line", "at", "h", "pos"],
+                    [pa.array(v.view(np.int64)), pa.array(w.view(np.int32)), pa.array(np.full(n, int.from_bytes(h[:8], "little", signed=True), np.int64)), pa.array(place), pa.array([h] * n, pa.binary()), pa.StructArray.from_arrays([pa.array([at[0]] * n), pa.array([at[1]] * n, pa.int64()), pa.array([at[2]] * n, pa.int64()), pa.array([at[3]] * n, pa.int32())], names=["none", "id", "row", "place"])],
+                    names=["v", "w", "line", "at", "h", "pos"],
                 )
 
-    emitted = scratch.save(source.mapInArrow(variants, f"v long, line long, at int, h binary, pos {order}"), "variants")
+    emitted = scratch.save(map_arrow(source, variants, f"v long, w int, line long, at int, h binary, pos {order}"), "variants")
+    held.destroy()
     # Most variants stand alone: those of several lines are found by their hashes, then looked at as a whole.
     several_lines = emitted.groupBy("v").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("v")
-    emitted = scratch.save(emitted.join(scratch.save(several_lines, "several"), "v", "left_semi").select("v", "at", "h", "pos"), "met")
+    emitted = emitted.join(scratch.save(several_lines, "several"), "v", "left_semi")
+    # Each slice of texts emits a line of its own: one row for each line and variant stays.
+    emitted = scratch.save(emitted.groupBy("v", "w", "at", "h").agg(F.min("pos").alias("pos")), "met")
+    scratch.drop("variants", "several")
     # Replaced characters: equal variants with the same place; each line meets the earliest of them.
-    early = emitted.where("at >= 0").groupBy("v", "at").agg(F.min(F.struct("pos", "h")).alias("e"))
-    swapped = emitted.join(early, ["v", "at"]).where("h <> e.h").select("h", "pos", F.col("e.h").alias("h0"), F.col("e.pos").alias("pos0"))
+    early = emitted.where("at >= 0").groupBy("v", "w", "at").agg(F.min(F.struct("pos", "h")).alias("e"))
+    swapped = emitted.join(early, ["v", "w", "at"]).where("h <> e.h").select("h", "pos", F.col("e.h").alias("h0"), F.col("e.pos").alias("pos0"))
     # Inserted or deleted characters: a line that is another's variant.
-    alone = emitted.where("at = -1").select("v", F.col("h").alias("hs"), F.col("pos").alias("ps"))
-    met = emitted.where("at >= 0").join(alone, "v").where("h <> hs").select("h", "pos", "hs", "ps")
+    alone = emitted.where("at = -1").select("v", "w", F.col("h").alias("hs"), F.col("pos").alias("ps"))
+    met = emitted.where("at >= 0").join(alone, ["v", "w"]).where("h <> hs").select("h", "pos", "hs", "ps")
     later = met.where("pos > ps").select("h", "pos", F.col("hs").alias("h0"), F.col("ps").alias("pos0"))
     sooner = met.where("pos < ps").groupBy("hs").agg(F.min(F.struct("pos", "h")).alias("e"), F.min("ps").alias("ps")).select(F.col("hs").alias("h"), F.col("ps").alias("pos"), F.col("e.h").alias("h0"), F.col("e.pos").alias("pos0"))
     pairs = swapped.unionByName(later).unionByName(sooner).groupBy("h").agg(F.min(F.struct("pos0", "h0")).alias("e"), F.min("pos").alias("pos"))
     pairs = scratch.save(pairs.select("h", "pos", F.col("e.h0").alias("h0"), F.col("e.pos0").alias("pos0")), "pairs")
+    scratch.drop("met")
 
     # The two lines themselves, for the distance.
-    wanted = scratch.save(pairs.select("pos").union(pairs.select("pos0")).distinct().select("pos.row", "pos.place").groupBy("row").agg(F.collect_set("place").alias("places")), "wanted")
-    texts = source.join(wanted, "row").select("row", F.explode("places").alias("place"), "text").select("row", "place", F.trim(F.element_at(F.split("text", "\n", -1), F.col("place") + 1), F.lit(" \t\r")).alias("line")).dropDuplicates(["row", "place"])
+    wanted = pairs.select("pos").union(pairs.select("pos0")).distinct().select("pos.id", "pos.row", "pos.place").groupBy("id", "row").agg(F.collect_set("place").alias("places"))
+    texts = source.join(scratch.save(wanted, "wanted"), ["id", "row"]).select("id", "row", F.explode("places").alias("place"), "text")
+    texts = texts.select("id", "row", "place", F.trim(F.element_at(F.split("text", "\n", -1), F.col("place") + 1), F.lit(" \t\r")).alias("line")).dropDuplicates(["id", "row", "place"])
     texts = scratch.save(texts, "texts")
     near = (
-        pairs.select("h", F.col("pos.row").alias("row"), F.col("pos.place").alias("place"), F.col("pos0.row").alias("row0"), F.col("pos0.place").alias("place0"), "pos0")
-        .join(texts, ["row", "place"])
-        .join(texts.select(F.col("row").alias("row0"), F.col("place").alias("place0"), F.col("line").alias("line0")), ["row0", "place0"])
+        pairs.select("h", *(F.col(f"pos.{c}").alias(c) for c in ("id", "row", "place")), *(F.col(f"pos0.{c}").alias(f"{c}0") for c in ("id", "row", "place")), "pos0")
+        .join(texts, ["id", "row", "place"])
+        .join(texts.select(*(F.col(c).alias(f"{c}0") for c in ("id", "row", "place", "line"))), ["id0", "row0", "place0"])
         .where(F.levenshtein("line", "line0", 1) >= 0)
         .select("h", F.col("pos0").alias("near"))
     )
     # A line's earliest kin: the same line's first place, or a near line's.
     near = scratch.save(near, "near")
-    kin = repeated.join(near, "h", "full_outer").select("h", "first", "near")
-    gone = all_lines.join(kin, "h").where((F.struct("none", "id", "row", "place") > F.col("first")) | (F.struct("none", "id", "row", "place") > F.col("near")))
-    return scratch.save(gone.select("row", "place").distinct(), "gone").select(F.col("row").alias("row_key"), "place")
+    scratch.drop("pairs", "wanted", "texts")
+    kin = scratch.save(repeated.join(near, "h", "full_outer").select("h", F.least("first", "near").alias("kin"), F.coalesce("n", F.lit(1)).alias("n")), "kin")
+    scratch.drop("repeated", "near")
+    # Lines of more than a 4 * P-th of the repeated places (4 * P lines at most) are dealt out, not joined by key.
+    most = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = kin.agg(F.sum("n").alias("total"))
+    hot = kin.crossJoin(F.broadcast(total)).where(F.col("n") * most > F.col("total")).select("h")  # one row beside all
+    here = F.struct("none", "id", "row", "place")
+    met = join_spread(all_lines, kin.select("h", "kin"), "h", hot, F.to_binary(F.hex(F.xxhash64("row", "place")), F.lit("hex")))
+    gone = met.where(here > F.col("kin"))
+    gone = scratch.save(gone.select("id", "row", "place").distinct(), "gone")
+    scratch.drop("kin")
+    return gone.select("id", F.col("row").alias("row_key"), "place")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep_emptied: bool = False, count: bool = False, **options) -> DataFrame:
@@ -188,13 +218,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ke
 
     Other lines stay as they are, in order.  Documents that lose all of their text go, unless ``keep_emptied``;
     documents that had none, and those without repeated lines, stay untouched.  ``count`` adds n_lines (not
-    blank) and n_dropped.  Nulls may stand in any column; a null text stays null.
+    blank) and n_dropped.  Nulls may stand in any column; a null text stays null.  Columns may have any names but
+    those that begin with ``__granary``.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     gone = dropped_lines(docs, id_col, text_col, scratch=scratch, **options)
-    places = scratch.save(gone.groupBy("row_key").agg(F.collect_set("place").alias("__places")), "places").withColumnRenamed("row_key", "__row")
+    places = gone.groupBy("id", "row_key").agg(F.collect_set("place").alias("__granary_places")).select(F.col("id").alias("__granary_id"), F.col("row_key").alias("__granary_row"), "__granary_places")
+    places = scratch.save(places, "places")
+    scratch.drop("gone")
     at = docs.columns.index(text_col)
-    joined = docs.withColumn("__row", _row_key(id_col, text_col)).join(places, "__row", "left").select(*docs.columns, "__places")
+    named = docs.withColumns({"__granary_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__granary_row": _row_key(id_col, text_col)})
+    joined = named.join(places, ["__granary_id", "__granary_row"], "left").select(*docs.columns, "__granary_places")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     schema += ", n_lines long, n_dropped long" * count
 
@@ -221,4 +255,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ke
                 names += ["n_lines", "n_dropped"]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)
