@@ -22,19 +22,25 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm._common import Scratch, mix, shingle_hashes, slices, text_bytes, word_hashes
+from granary.llm._common import Scratch, hot_keys, join_spread, map_arrow, mix, shingle_pieces, slices, text_bytes, word_hashes
 
 COORDINATES = 128
 #: Bound of the probability that the signature test misses a pair at the very threshold.
 MISS = 1e-5
-_BLOCK = 1024
+#: Most rows of a posting list, and most shingles (about), that meet as one block.
+_BLOCK, _BLOCK_SHINGLES = 1024, 1 << 21
+_MOST_STARS = 200
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _TERMS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) + np.uint64(1 << 40))
 
 
 def sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, and their offsets."""
-    h, doc = shingle_hashes(*word_hashes(raw, offsets), width)
+    parts = list(shingle_pieces(*word_hashes(raw, offsets), width))
+    if len(parts) > 1:  # one long text
+        h = np.unique(np.concatenate([np.unique(x) for x, _ in parts]))
+        return h, np.array([0, len(h)])
+    h, doc = parts[0]
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
@@ -43,12 +49,21 @@ def sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarr
     return h, np.searchsorted(doc, np.arange(len(offsets))).astype(np.int64)
 
 
-def nodes_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, for equal sets equal."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h), dtype=np.uint64)])
+def nodes_of(h: np.ndarray, at: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit name of each set, for equal sets equal; another salt gives an independent one."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(salt)), dtype=np.uint64)])
     return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)).view(np.int64)
 
 
+_CHECK = 0x5851F42D4C957F2D  # salt of the second name, by which sets that share the first are told apart
+
+
+def apart(named: DataFrame, clashes: list[int]) -> DataFrame:
+    """Without column ``check``; where different sets share a name (``clashes``), both names make a new one."""
+    node = F.when(F.col("node").isin(clashes), F.xxhash64("node", "check")).otherwise(F.col("node")) if clashes else F.col("node")
+    return named.withColumn("node", node).drop("check")
+
+
 def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Low 32 bits of the least value in each coordinate, (texts, COORDINATES); zeros for empty sets."""
     full = np.flatnonzero(np.diff(at))
@@ -74,7 +89,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Connected components of edges (a, b): node, root (the least node); by alternating large and small stars."""
     now = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}0")
     mark = None
-    for i in range(1, 100):
+    for i in range(1, _MOST_STARS + 1):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("a > m").select("a", F.col("m").alias("b"))).where("a > b").distinct()
@@ -86,6 +101,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if found == mark:
             break
         mark = found
+    else:
+        raise RuntimeError(f"components aren't settled after {_MOST_STARS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -134,10 +151,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in slices(batches, "text"):
             h, at = sets(*text_bytes(batch.column(2)), width)
             sig = signatures(h, at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes_of(h, at)), pa.array(np.diff(at)), pa.array([s.tobytes() for s in sig], pa.binary())], names=["id", "text_key", "node", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes_of(h, at)), pa.array(nodes_of(h, at, _CHECK)), pa.array(np.diff(at)), pa.array([s.tobytes() for s in sig], pa.binary())], names=["id", "text_key", "node", "check", "n", "sig"])
 
-    base = scratch.save(source.mapInArrow(sign, "id long, text_key long, node long, n long, sig binary"), "base")
-    nodes = scratch.save(base.where("n > 0").groupBy("node").agg(F.min(F.struct("text_key", "n", "sig")).alias("x")).select("node", "x.text_key", "x.n", "x.sig"), "nodes")
+    base = scratch.save(map_arrow(source, sign, "id long, text_key long, node long, check long, n long, sig binary"), "signed")
+    # 64 bits name a set; of n sets about n * n / 2 ** 65 share a name by chance (tens at 50 billion), and 128 bits tell them apart.
+    known = base.where("n > 0").groupBy("node").agg(F.min("check").alias("c0"), F.max("check").alias("c1"))
+    clashes = [r["node"] for r in known.where("c0 <> c1").select("node").collect()]
+    base = apart(base, clashes)
+    nodes = base.where("n > 0").groupBy("node").agg(F.min(F.struct("text_key", "n", "sig")).alias("x"), F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    nodes = scratch.save(nodes.select("node", "x.text_key", "x.n", "x.sig", "id", "copies"), "nodes")
 
     def pairs_of(batches):
         """The coordinate-value pairs of each node."""
@@ -149,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 token = mix(sig.astype(np.uint64) | (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), COORDINATES)), pa.array(token.ravel()), pa.array(np.tile(coordinate, part.num_rows))], names=["node", "token", "c"])
 
-    tokens = nodes.select("node", "sig").mapInArrow(pairs_of, "node long, token long, c short")
+    tokens = map_arrow(nodes.select("node", "sig"), pairs_of, "node long, token long, c short")
     shared = tokens.groupBy("token").count().where("count > 1")
     # A node's shared pairs (128 at most), rarest first; those that nobody shares come before and need no posting.
     own = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "token", "c"))).alias("own"), F.count(F.lit(1)).alias("m"))
@@ -177,10 +199,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if not hit:
                 continue
             h, at = sets(*text_bytes(batch.column(1).take(pa.array(hit))), width)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes_of(h, at)), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["node", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes_of(h, at)), pa.array(nodes_of(h, at, _CHECK)), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["node", "check", "n", "shingles"])
 
-    full = source.select("text_key", "text").mapInArrow(whole_sets, "node long, n long, shingles array<long>")
+    full = apart(map_arrow(source.select("text_key", "text"), whole_sets, "node long, check long, n long, shingles array<long>"), clashes)
     full = scratch.save(full.dropDuplicates(["node"]), "sets")
+    held.destroy()
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose full sets are near enough."""
@@ -194,17 +217,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(met.select(F.col("node").alias("a"), "b"), "links1")
     joined = components(links, scratch, "stars")
 
-    # Lists that still hold several components, in blocks.
+    # Lists that still hold several components, in blocks of bounded rows and shingles.
     roots = posts.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = scratch.save(roots.select("token", "c", "node", "root", "size"), "roots")
+    scratch.drop("posts")
     open_lists = roots.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rows = roots.join(open_lists, "token", "left_semi").join(nodes.select("node", "n", "sig"), "node").join(posted.select("node", "cs"), "node")
+    rows = scratch.save(rows.select("token", "c", "node", "root", "size", "n", "sig", "cs"), "open")
+    scratch.drop("roots", "posted")
+    weight = rows.groupBy("token").agg(F.sum("n").alias("weight"))
+    blocks = F.greatest(F.ceil(F.col("size") / _BLOCK), F.ceil(F.col("weight") / _BLOCK_SHINGLES)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = (
-        roots.join(open_lists, "token", "left_semi")
-        .withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-        .join(nodes.select("node", "n", "sig"), "node")
-        .join(posted.select("node", "cs"), "node")
+        rows.join(weight, "token")
+        .withColumn("blocks", blocks)
+        .withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
         .select("token", F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), "mine", "c", "node", "root", "n", "sig", "cs")
     )
     dealt = spread.repartition("token", "b0", "b1").sortWithinPartitions("token", "b0", "b1", "mine", "node")
@@ -248,7 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 same = [pa.array([t.column(x)[0].as_py()] * len(own), pa.int64() if x == "token" else pa.int32()) for x in ("token", "b0", "b1")]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(node[own]), pa.array(root[own]), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(node[q[order]]))], names=["token", "b0", "b1", "node", "root", "partners"])
 
-    rest = scratch.save(dealt.mapInArrow(merge, "token long, b0 int, b1 int, node long, root long, partners array<long>"), "rest")
+    rest = scratch.save(map_arrow(dealt, merge, "token long, b0 int, b1 int, node long, root long, partners array<long>"), "rest")
+    scratch.drop("open")
     with_sets = rest.join(full, "node").select("token", "b0", "b1", "node", "root", "partners", "n", "shingles")
     with_sets = with_sets.repartition("token", "b0", "b1").sortWithinPartitions("token", "b0", "b1", "node")
 
@@ -281,11 +309,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                             above[max(x, y)] = min(x, y)
                             yield pa.RecordBatch.from_arrays([pa.array([node[i]]), pa.array([node[j]])], names=["a", "b"])
 
-    more = scratch.save(with_sets.mapInArrow(settle, "a long, b long"), "links2")
+    more = scratch.save(map_arrow(with_sets, settle, "a long, b long"), "links2")
+    scratch.drop("sets", "rest")
     final = components(links.union(more), scratch, "final")
-    rooted = base.select("id", "node", "n").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
-    out = rooted.join(least, "root", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
+    # The least id of each component, then of each node, then of each row: big components and common texts are dealt out.
+    rooted = scratch.save(nodes.select("node", "id", "copies").join(final, "node", "left").select("node", "id", "copies", F.coalesce("root", "node").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = join_spread(rooted, least, "root", hot_keys(rooted, "root"), F.xxhash64("node"))
+    named = scratch.save(named.select("node", "copies", "component_id"), "named")
+    scratch.drop("nodes", "rooted", "links1", "links2")
+    total = base.agg(F.count(F.lit(1)).alias("__all"))
+    most = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    common = named.crossJoin(F.broadcast(total)).where(F.col("copies") * most > F.col("__all")).select("node")  # most rows at most
+    out = join_spread(base.select("id", "node", "n", "text_key"), named.select("node", "component_id"), "node", common, F.xxhash64("id", "text_key"))
+    out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
