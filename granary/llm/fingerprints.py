@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm._common import mix, shingle_hashes, slices, text_bytes, word_hashes
+from granary.llm._common import map_arrow, mix, parts_for, shingle_pieces, slices, text_bytes, word_hashes
 
 BINS, BITS = 512, 4
 _DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -35,9 +35,9 @@ _ORDER = _RANKS.argsort(1).astype(np.int16)
 def fingerprints(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> np.ndarray:
     """The bins' low bits of each text, (texts, BINS) uint8; 255 throughout for a text without words."""
     n = len(offsets) - 1
-    h, doc = shingle_hashes(*word_hashes(raw, offsets), width)
     low = np.full(n * BINS, _NONE)
-    np.minimum.at(low, doc * BINS + (h >> np.uint64(55)).astype(np.int64), h & np.uint64((1 << 55) - 1))
+    for h, doc in shingle_pieces(*word_hashes(raw, offsets), width):
+        np.minimum.at(low, doc * BINS + (h >> np.uint64(55)).astype(np.int64), h & np.uint64((1 << 55) - 1))
     low = low.reshape(n, BINS)
     empty = low == _NONE
     filled = BINS - empty.sum(1)
@@ -86,7 +86,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text", *carry: str) -> DataFra
             made = packed(fingerprints(*text_bytes(batch.column(len(carry)))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(made, pa.string())], names=[*carry, "fingerprint"])
 
-    return docs.select(*carry, text_col).mapInArrow(run, schema)
+    return map_arrow(docs.select(*carry, text_col), run, schema)
 
 
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,14 +97,13 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  Null texts are empty;
     a lone document follows itself.
 
-    Texts are shuffled once, to ranges of ids whose bounds come from the ids alone; a range's largest document
-    also goes to the range above, where it follows the smallest.
+    Texts are shuffled once, to ranges of ids whose bounds come from the ids alone, in partitions of about 32 MB; a
+    range's largest document also goes to the range above, where it follows the smallest.  Other columns aren't read.
     """
-    spark = docs.sparkSession
     lowest = -(1 << 63)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("id", F.lit(lowest))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_for(rows)
     ranges = 4 * parts  # several small ranges a partition even out
     share = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)], F.lit(1.0))
     bounds = np.unique(np.array(rows.agg(F.percentile_approx(key, share, F.lit(max(10_000, 20 * ranges))).alias("b")).first()["b"] or [lowest], np.int64))
@@ -149,4 +148,4 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             )
 
     schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.select("id", "text", "place").mapInArrow(run, schema)
+    return map_arrow(dealt.select("id", "text", "place"), run, schema)
