@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm._common import Scratch
+from granary.llm._common import Scratch, map_arrow
 
 
 @dataclass
@@ -93,6 +93,46 @@ def train(x: np.ndarray, books: int = 16, words: int = 256, rounds: int = 8, ref
     return found
 
 
+class Best:
+    """The best scores of each query so far, by look-up tables of _QUERIES queries at a time."""
+
+    _QUERIES, _CODES = 2_048, 1_024
+
+    def __init__(self, words: np.ndarray, ids: np.ndarray, queries: np.ndarray, most: int):
+        self.m, self.k, d = words.shape
+        self.flat, self.ids, self.queries, self.most = words.reshape(self.m * self.k, d), ids, queries, most
+        self.score = np.full((len(ids), 0), -np.inf, np.float32)
+        self.who = np.full((len(ids), 0), -1, np.int64)
+
+    def meet(self, ids: np.ndarray, codes: np.ndarray, factor: np.ndarray) -> None:
+        """A page of codes: each query's inner products with all codewords, added up along the codes."""
+        codes = codes.reshape(len(ids), self.m).astype(np.int64) + np.arange(self.m) * self.k
+        parts = [self._meet(slice(s, s + self._QUERIES), ids, codes, factor) for s in range(0, len(self.ids), self._QUERIES)]
+        self.score, self.who = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+
+    def _meet(self, part: slice, ids: np.ndarray, codes: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        table = np.ascontiguousarray((self.queries[part] @ self.flat.T).T)  # (M * K, queries)
+        own, score, who = self.ids[part], self.score[part], self.who[part]
+        for start in range(0, len(ids), self._CODES):
+            at = slice(start, start + self._CODES)
+            new = np.zeros((len(ids[at]), len(own)), np.float32)
+            for j in range(self.m):
+                new += table[codes[at, j]]
+            new *= factor[at, None]
+            new[ids[at][:, None] == own] = -np.inf
+            score, who = np.concatenate([score, new.T], 1), np.concatenate([who, np.tile(ids[at], (len(own), 1))], 1)
+            if score.shape[1] > self.most:
+                top = np.argpartition(-score, self.most - 1, axis=1)[:, : self.most]
+                score, who = np.take_along_axis(score, top, 1), np.take_along_axis(who, top, 1)
+        return score, who
+
+    def found(self):
+        for s in range(0, len(self.ids), 256):
+            score, who = self.score[s : s + 256], self.who[s : s + 256]
+            q, c = np.nonzero(~np.isneginf(score))
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[s : s + 256][q]), pa.array(who[q, c]), pa.array(score[q, c].astype(np.float64))], names=["query_id", "vec_id", "near"])
+
+
 def _good(vector: Column) -> Column:
     """Not null, not empty, finite throughout and not zero."""
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
@@ -101,7 +141,7 @@ def _good(vector: Column) -> Column:
 
 def search(
     vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 20, rerank: int = 600,
-    books: int = 16, words: int = 256, beam: int = 8, sample_rows: int = 16_000, query_block: int = 2_048, page: int = 4_096, spread: int = 8,
+    books: int = 16, words: int = 256, beam: int = 8, sample_rows: int = 16_000, query_bytes: int = 16 << 20, page: int = 4_096, task_rows: int = 200_000,
 ) -> DataFrame:
     """Each query's ``k`` nearest other rows by inner product: query_id, rank (from 1), vec_id, score.
 
@@ -111,8 +151,9 @@ def search(
     the smallest id decides).  Rows that repeat an id count once (the least vector).
 
     The codebooks are fitted on ``sample_rows`` rows at most (those with the smallest hashes of their id); all
-    rows are encoded.  Each block of queries meets all codes as pages of ``page`` codes, ``spread`` tasks a block;
-    a task keeps the ``rerank`` best scores of each query.  Both are bounded, whatever the table's size.
+    rows are encoded.  Queries are dealt into blocks of ``query_bytes``; each block meets all codes as pages of ``page``
+    codes, in tasks of ``task_rows`` codes (12 tasks at least); a task keeps the ``rerank`` best scores of each query (ties: any).  So a page
+    travels once a block, and what a task holds is bounded, whatever the table's size.  Other columns aren't read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "additive")
@@ -146,9 +187,10 @@ def search(
                 ids = part.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int64).tobytes()]), pa.array([codes.tobytes()]), pa.array([factor.tobytes()]), pa.array([int(ids[0])], pa.int64())], names=["ids", "codes", "factors", "page"])
 
-    coded = scratch.save(rows.select("id", "v").mapInArrow(pages, "ids binary, codes binary, factors binary, page long"), "codes")
+    coded = scratch.save(map_arrow(rows.select("id", "v"), pages, "ids binary, codes binary, factors binary, page long"), "codes")
     asked = rows.where("is_query").select("id", "v")
-    blocks = max(1, -(-asked.count() // query_block))
+    blocks = max(1, -(-asked.count() * 8 * first // query_bytes))
+    spread = max(12, -(-total // task_rows))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))
     # A block's queries go to each of its tasks, a page to one task of each block.
     sides = (
@@ -156,64 +198,30 @@ def search(
         .unionByName(
             coded.select(F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), F.pmod(F.xxhash64("page", F.lit(2)), F.lit(spread)).cast("int").alias("task"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), "ids", "codes", "factors")
         )
-        .repartition(min(blocks * spread, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "block", "task")
+        .repartition(min(1 << 20, blocks * spread), "block", "task")
         .sortWithinPartitions("block", "task", "side", "id")
     )
 
     def candidates(batches):
         words_, unit = cloudpickle.loads(held.value)
-        m, kk, d = words_.shape
-        flat = words_.reshape(m * kk, d)
-        state = {"key": None, "ids": [], "v": []}
-
-        def best():
-            """The best rows of every query so far, if any."""
-            if state["key"] is None or not state["ids"] or "score" not in state:
-                return None
-            q, c = np.nonzero(state["who"] >= 0)
-            ids = np.asarray(state["ids"])
-            return pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(state["who"][q, c], pa.int64()), pa.array(state["score"][q, c].astype(np.float64))], names=["query_id", "vec_id", "near"])
-
+        best, key, asked_ = None, None, ([], [])
         for batch in batches:
             blocks_, tasks, side = (batch.column(i).to_pylist() for i in range(3))
             for i in range(batch.num_rows):
-                if state["key"] != (blocks_[i], tasks[i]):
-                    if (out := best()) is not None:
-                        yield out
-                    state = {"key": (blocks_[i], tasks[i]), "ids": [], "v": []}
+                if key != (blocks_[i], tasks[i]):
+                    if best:
+                        yield from best.found()
+                    best, key, asked_ = None, (blocks_[i], tasks[i]), ([], [])
                 if side[i] == 0:
-                    state["ids"].append(batch.column(3)[i].as_py())
-                    state["v"].append(np.asarray(batch.column(4)[i].values.to_numpy(zero_copy_only=False), np.float64))
-                    continue
-                if not state["ids"]:
-                    continue
-                if "table" not in state:
-                    q = (np.stack(state["v"]) / unit).astype(np.float32)
-                    state["table"] = np.ascontiguousarray((q @ flat.T).T)  # (M*K, queries)
-                    state["score"] = np.full((len(q), 0), -np.inf, np.float32)
-                    state["who"] = np.full((len(q), 0), -1, np.int64)
-                ids = np.frombuffer(batch.column(5)[i].as_py(), np.int64)
-                codes = np.frombuffer(batch.column(6)[i].as_py(), np.uint8).reshape(len(ids), m)
-                factor = np.frombuffer(batch.column(7)[i].as_py(), np.float32)
-                table = state["table"]
-                for start in range(0, len(ids), 1024):
-                    part = slice(start, start + 1024)
-                    score = np.zeros((len(ids[part]), table.shape[1]), np.float32)
-                    for j in range(m):
-                        score += table[codes[part, j].astype(np.int64) + j * kk]
-                    score *= factor[part, None]
-                    score = np.concatenate([state["score"], score.T], 1)
-                    who = np.concatenate([state["who"], np.tile(ids[part], (table.shape[1], 1))], 1)
-                    score[who == np.asarray(state["ids"])[:, None]] = -np.inf
-                    if score.shape[1] > rerank:
-                        top = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank]
-                        score, who = np.take_along_axis(score, top, 1), np.take_along_axis(who, top, 1)
-                    who = np.where(np.isneginf(score), -1, who)
-                    state["score"], state["who"] = score, who
-        if (out := best()) is not None:
-            yield out
-
-    found = sides.mapInArrow(candidates, "query_id long, vec_id long, near double")
+                    asked_[0].append(batch.column(3)[i].as_py())
+                    asked_[1].append(np.asarray(batch.column(4)[i].values.to_numpy(zero_copy_only=False), np.float32))
+                elif asked_[0]:
+                    best = best or Best(words_, np.asarray(asked_[0]), np.stack(asked_[1]) / np.float32(unit), rerank)
+                    best.meet(*(np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in ((5, np.int64), (6, np.uint8), (7, np.float32))))
+        if best:
+            yield from best.found()
+
+    found = map_arrow(sides, candidates, "query_id long, vec_id long, near double")
     # The best of all tasks of a query: an aggregate keeps them, spread * rerank rows a query at most.
     found = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("near", "vec_id")), asc=False), 1, rerank).alias("best"))
     pairs = found.select("query_id", F.explode("best").alias("b")).select("query_id", F.col("b.vec_id").alias("vec_id"))
