@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import line_dedup, mixing, near_dedup, sentencepiece_chunks, toxicity
-from granary.llm._common import Scratch, table
+from granary.llm._common import Scratch, table, temporaries
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dedup.deduplicate(docs)
+    """One document of each group of near duplicates: five words a shingle, a similarity of 0.8 or more."""
+    return near_dedup.deduplicate(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    scratch, docs, last = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with temporaries():  # a stage's own tables go once its result is saved
+            docs = scratch.save(stage(spark, docs, sf_dir), at := name.replace(" ", "_"))
+        if last:
+            scratch.drop(last)
+        last = at
     return docs
