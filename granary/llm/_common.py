@@ -68,12 +68,10 @@ def temporaries():
             scratch.drop()
 
 
-def parts_for(df: DataFrame, size: int = 32 << 20, swell: float = 4.0) -> int:
-    """Partitions of about ``size`` bytes for a shuffle of these rows: from the bytes the optimiser expects to
-    read, times ``swell`` for compressed columns; the session's shuffle partitions at least."""
-    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, usual, min(1 << 20, int(expected * swell) // size)) if expected < 1 << 62 else max(1, usual)
+def parts_for(df: DataFrame, column: str, size: int = 32 << 20) -> int:
+    """Partitions of about ``size`` bytes of a text column for a shuffle; the session's shuffle partitions at least."""
+    total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:

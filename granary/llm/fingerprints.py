@@ -103,7 +103,7 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lowest = -(1 << 63)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("id", F.lit(lowest))
-    parts = parts_for(rows)
+    parts = parts_for(rows, "text")
     ranges = 4 * parts  # several small ranges a partition even out
     share = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)], F.lit(1.0))
     bounds = np.unique(np.array(rows.agg(F.percentile_approx(key, share, F.lit(max(10_000, 20 * ranges))).alias("b")).first()["b"] or [lowest], np.int64))
