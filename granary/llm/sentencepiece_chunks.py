@@ -83,9 +83,12 @@ class ChunkTable:
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """Per text: ids joined by commas, and the decoded text."""
         if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
-            parts = [next(self.encode([x])) for x in pieces(texts[0], SLICE_BYTES)]
+            parts = [next(self._encode([x])) for x in pieces(texts[0], SLICE_BYTES)]
             yield ",".join(ids for ids, _ in parts), " ".join(back for _, back in parts)
-            return
+        else:
+            yield from self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         parts = [self.chunks(t) for t in texts]
         known, changed = self.learn([c for chunks in parts for c in chunks]), self.changed
         for chunks in parts:
