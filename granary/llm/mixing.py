@@ -80,8 +80,9 @@ def _cells(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, t
     cells = scratch.save(named.groupBy(*by).agg(F.sum(names["tokens"]).alias("t")), "cells")
     size, total = cells.agg(F.count(F.lit(1)), F.sum("t")).first()
     small = size <= _SMALL
+    plain = cells
     for d in DIMENSIONS:
-        found = _targets(cells.select(*DIMENSIONS, "t"), d, (targets or {}).get(d) or {}, temper, keep)
+        found = _targets(plain, d, (targets or {}).get(d) or {}, temper, keep)
         cells = cells.join(found, d, "left")
     none = " or ".join(f"due_{d} = 0" for d in DIMENSIONS)
     full = " or ".join(f"all_{d}" for d in DIMENSIONS)
