@@ -511,13 +511,35 @@ def test_mixing_meets_its_targets_where_cells_are_capped(spark):
     tails = ["", "", "", "", "", "", " License", " a | b", " !!", " me@x"]
     texts = [" ".join(["word"] * rnd.randint(5, 60)) + rnd.choice(tails) for _ in range(800)]
     docs = documents(spark, texts, ["en", "en", "en", "de", "fr"], ["a", "a", "a", "b", "c", "a", "a"])
-    cut = mixing.marginals(docs).toPandas()
-    assert (cut.share / cut.target - 1).abs().max() > 0.05
-    found = mixing.marginals(docs, bounded=True).toPandas()
-    assert (found.share / found.target - 1).abs().max() < 0.01
-    chance = mixing.probabilities(docs, bounded=True).toPandas()
-    assert 0 < chance["__probability"].min() and 0.99 < chance["__probability"].max() <= 1
+    found = mixing.marginals(docs).toPandas()
+    assert (found.share - found.feasible).abs().max() < 1e-6
+    assert (found.feasible - found.target).abs().max() > 0.01  # some targets ask for more than there is
+    assert (found.kept - 0.8).abs().max() < 1e-9
+    chance = mixing.probabilities(docs).toPandas()
+    assert 0 < chance["__probability"].min() and chance["__probability"].max() == 1
     mass = chance.assign(m=chance["__tokens"] * chance["__probability"])
-    assert abs(mass.m.sum() / mass["__tokens"].sum() - found.kept.iloc[0]) < 1e-9
+    assert abs(mass.m.sum() / mass["__tokens"].sum() - 0.8) < 1e-9
     for r in found.itertuples():
-        assert abs(mass[mass[f"__{r.dimension}"] == r.value].m.sum() / mass.m.sum() - r.share) < 1e-9
+        own = mass[mass[f"__{r.dimension}"] == r.value]
+        assert abs(own.m.sum() / mass.m.sum() - r.share) < 1e-9
+        # A value gives all it has, or all such values are asked for the same multiple of their share.
+        if r.feasible < r.target - 1e-9:
+            assert (own["__probability"] == 1).all()
+    ratio = (found.feasible / found.target)[found.feasible > found.target + 1e-9].groupby(found.dimension)
+    assert (ratio.max() - ratio.min()).max() < 1e-9
+
+
+def test_mixing_names_and_contradictions(spark):
+    texts = ["a b c", "d e f g", "h !!", None]
+    docs = documents(spark, texts * 10, ["en", "de"], ["x", "y"]).withColumn("__source", F.lit("mine")).withColumn("__probability", F.lit(7))
+    found = mixing.probabilities(docs)
+    assert found.columns[: len(docs.columns)] == docs.columns and "___probability" in found.columns
+    assert {r["__source"] for r in found.collect()} == {"mine"}
+    drawn = mixing.sample(docs)
+    assert drawn.columns == docs.columns and 0 < drawn.count() <= 40
+    # Each source has one language: half of the one and all of the other can't go together.
+    with pytest.warns(UserWarning, match="can't be met together"):
+        mixing.probabilities(documents(spark, ["a b"] * 40, ["en", "de"], ["x", "y"]), {"source": {"x": 0.9, "y": 0.1}, "lang": {"en": 0.1, "de": 0.9}}, keep=0.3).count()
+    none = mixing.probabilities(documents(spark, ["a b"] * 40, ["en"], ["x", "y"]), {"source": {"x": 1.0, "y": 0.0}}, keep=0.4).toPandas()
+    assert set(none[none["__source"] == "y"]["__probability"]) == {0.0}
+    assert np.allclose(none[none["__source"] == "x"]["__probability"], 0.8)
