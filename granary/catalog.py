@@ -1,8 +1,7 @@
-"""Tables, views, indexes and constraints by tenant, kept as JSON beside the data."""
+"""Tables, views, indexes and constraints by tenant, kept in the tenant's commit log beside the data."""
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.functions import types as kinds
-from granary.sources.tables import ManagedTable
+from granary.sources.log import TenantLog
+from granary.sources.tables import ConflictError, ManagedTable
 
 
 @dataclass(frozen=True)
@@ -98,44 +98,54 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str | None):
         self.spark, self.root = spark, root and root.rstrip("/")
         self.tenants: dict[int, Tenant] = {}
+        self.versions: dict[int, int] = {}
+        self.logs: dict[int, TenantLog] = {}
 
-    # Persistence: one JSON file a tenant, through Spark's file systems.
+    # Persistence, in the tenant's log.
 
-    def _path(self, tenant: int):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.root}/tenant={tenant}/catalog.json")
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+    def log(self, tenant: int) -> TenantLog:
+        if tenant not in self.logs:
+            self.logs[tenant] = TenantLog(self.spark, f"{self.root}/tenant={tenant}/_log")
+        return self.logs[tenant]
 
     def tenant(self, tenant: int) -> Tenant:
         if tenant not in self.tenants:
-            found = Tenant()
-            if self.root and (at := self._path(tenant))[0].exists(at[1]):
-                fs, where = at
-                stream = fs.open(where)
-                said = json.loads(bytes(stream.readAllBytes()).decode())
-                stream.close()
-                for t in said["tables"]:
-                    columns = tuple(ColumnDef(**c) for c in t["columns"])
-                    rules = tuple(ConstraintDef(c["name"], c["kind"], tuple(c["columns"]), c["check"], tuple(c["references"])) for c in t["constraints"])
-                    found.tables[t["name"]] = TableDef(t["name"], columns, rules, t["version"])
-                found.views = {v["name"]: ViewDef(**v) for v in said["views"]}
-                found.indexes = {i["name"]: IndexDef(**{**i, "columns": tuple(i["columns"])}) for i in said["indexes"]}
-            self.tenants[tenant] = found
+            self.refresh(tenant)
         return self.tenants[tenant]
 
-    def save(self, tenant: int) -> None:
+    def refresh(self, tenant: int) -> None:
+        """Takes over what other writers have defined."""
+        state = self.log(tenant).latest()[1] if self.root else {"catalog": None, "catalog_version": -1}
+        if tenant in self.tenants and self.versions[tenant] == state["catalog_version"]:
+            return
+        found, said = Tenant(), state["catalog"]
+        for t in said["tables"] if said else ():
+            columns = tuple(ColumnDef(**c) for c in t["columns"])
+            rules = tuple(ConstraintDef(c["name"], c["kind"], tuple(c["columns"]), c["check"], tuple(c["references"])) for c in t["constraints"])
+            found.tables[t["name"]] = TableDef(t["name"], columns, rules, t["version"])
+        if said:
+            found.views = {v["name"]: ViewDef(**v) for v in said["views"]}
+            found.indexes = {i["name"]: IndexDef(**{**i, "columns": tuple(i["columns"])}) for i in said["indexes"]}
+        self.tenants[tenant], self.versions[tenant] = found, state["catalog_version"]
+
+    def save(self, tenant: int, tables: Mapping[str, tuple[int, Sequence[str] | None]] | None = None) -> None:
+        """Commits the definitions, with changed tables if any; if others were faster, takes theirs over and says so."""
         if not self.root:
             return
         t = self.tenant(tenant)
-        fs, where = self._path(tenant)
-        stream = fs.create(where, True)
-        stream.write(json.dumps({"tables": [asdict(x) for x in t.tables.values()], "views": [asdict(x) for x in t.views.values()], "indexes": [asdict(x) for x in t.indexes.values()]}).encode())
-        stream.close()
+        said = {"tables": [asdict(x) for x in t.tables.values()], "views": [asdict(x) for x in t.views.values()], "indexes": [asdict(x) for x in t.indexes.values()]}
+        try:
+            self.log(tenant).commit(tables or {}, (self.versions[tenant], said))
+            self.versions[tenant] += 1
+        except ConflictError:
+            del self.tenants[tenant]
+            self.refresh(tenant)
+            raise
 
     # Tables.
 
     def data(self, tenant: int, name: str) -> ManagedTable:
-        return ManagedTable(self.spark, f"{self.root}/tenant={tenant}/{name}", self.table(tenant, name).schema())
+        return ManagedTable(self.spark, f"{self.root}/tenant={tenant}/{name}", self.table(tenant, name).schema(), self.log(tenant))
 
     def table(self, tenant: int, name: str) -> TableDef:
         try:
@@ -168,23 +178,26 @@ class Catalog:
             if if_exists:
                 return False
             raise KeyError(f"no table {name}")
-        self.data(tenant, name).drop()
+        data = self.data(tenant, name)
+        base = data.version()
         del known.tables[name]
         known.indexes = {k: i for k, i in known.indexes.items() if i.table != name}
-        self.save(tenant)
+        self.save(tenant, {name: (base, None)})
+        data.drop()
         return True
 
-    def _replace(self, tenant: int, table: TableDef) -> TableDef:
+    def _replace(self, tenant: int, table: TableDef, tables: Mapping[str, tuple[int, Sequence[str]]] | None = None) -> TableDef:
         table = replace(table, version=table.version + 1)
         self.tenant(tenant).tables[table.name] = table
-        self.save(tenant)
+        self.save(tenant, tables)
         return table
 
     def _rewrite(self, tenant: int, new: TableDef, rows: DataFrame, base: int) -> TableDef:
-        """Commits rows in the new shape, then the definition."""
-        if base >= 0:
-            ManagedTable(self.spark, self.data(tenant, new.name).path, new.schema()).commit(rows.select(*new.schema().fieldNames()), base)
-        return self._replace(tenant, new)
+        """Commits rows in the new shape together with the definition."""
+        if base < 0:
+            return self._replace(tenant, new)
+        folder = self.data(tenant, new.name).write(rows.select(*new.schema().fieldNames()), base)
+        return self._replace(tenant, new, {new.name: (base, [folder])})
 
     def add_column(self, tenant: int, name: str, column: ColumnDef) -> TableDef:
         table, data = self.table(tenant, name), self.data(tenant, name)
@@ -268,6 +281,16 @@ class Catalog:
                 return checks.failing_rows(rows, rule.check)
         return checks.orphans(rows, rule.columns, self.data(tenant, rule.references[0]).read(), rule.references[1:])
 
+    def enforce_new(self, tenant: int, table: TableDef, fresh: DataFrame, old: DataFrame) -> None:
+        """Checks rows to be added: each by itself, keys among them and against the rows that are there."""
+        self.enforce(tenant, table, fresh)
+        for rule in self.rules(table):
+            if rule.kind in ("unique", "primary_key"):
+                keys = old.select(*(F.col(c).alias(f"__{c}") for c in rule.columns))
+                met = fresh.join(keys, [F.col(c) == F.col(f"__{c}") for c in rule.columns], "left_semi").select(*rule.columns)
+                if bad := met.take(1):
+                    raise ValueError(f"{table.name}: constraint {rule.name} ({rule.kind}) is broken by {bad[0].asDict()}")
+
     def enforce(self, tenant: int, table: TableDef, rows: DataFrame, rules: Sequence[ConstraintDef] | None = None) -> None:
         for rule in self.rules(table) if rules is None else rules:
             if bad := self.violations(tenant, rows, rule).take(1):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.plans.predicates import Predicate, holds
@@ -50,23 +51,33 @@ def delete_returning(df: DataFrame, where: Predicate | None = None, columns: Seq
     return df.where(holds(where)).select(*(columns or df.columns))
 
 
+def once(rows: DataFrame, keys: Sequence[str], several: str | None = None) -> DataFrame:
+    """Rows with each key once (keys with a null repeat nothing): an error if a key comes again, or ``several`` = 'first'."""
+    whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    if several == "first":
+        return rows.where(whole).dropDuplicates(list(keys)).unionByName(rows.where(~whole))
+    again = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+    said = F.raise_error(F.lit(f"a row can't be changed twice: several new rows have the same {', '.join(keys)}")).cast("boolean")
+    return rows.withColumn("__again", again).where(F.when(whole & F.col("__again"), said).otherwise(F.lit(True))).drop("__again")
+
+
 def upsert(df: DataFrame, rows: DataFrame, keys: Sequence[str], changes: Mapping[str, Any] | None = None) -> DataFrame:
     """Inserts rows; one whose keys exist changes that row instead (ON CONFLICT DO UPDATE).
 
     ``changes`` gives values as columns over the old row's names and the new row's as ``new.<name>``; without
-    it the new row's values replace the old ones.  One full join on the keys, so one shuffle of either side.
+    it the new row's values replace the old ones.  Keys with a null meet nothing: old rows stay, new ones are added.
+    Several new rows of one key are an error, but with empty ``changes`` (DO NOTHING) one of them is added.  One full join on
+    the keys, so one shuffle of either side, which the check of the keys shares.
     """
-    old, new = df.alias("old"), rows.alias("new")
+    rows = once(rows, keys, "first" if changes is not None and not changes else None)
+    old, new = df.withColumn("__old", F.lit(True)).alias("old"), rows.withColumn("__new", F.lit(True)).alias("new")
     on = [F.col(f"old.{k}") == F.col(f"new.{k}") for k in keys]
-    there, given = F.col(f"old.{keys[0]}").isNotNull(), F.col(f"new.{keys[0]}").isNotNull()
+    there, given = F.col("old.__old").isNotNull(), F.col("new.__new").isNotNull()
     out = []
     for c in df.columns:
         fresh = F.col(f"new.{c}").cast(df.schema[c].dataType) if c in rows.columns else F.lit(None).cast(df.schema[c].dataType)
-        if c in keys:
-            out.append(F.coalesce(F.col(f"old.{c}"), fresh).alias(c))
-            continue
         if changes is None:
-            changed = fresh if c in rows.columns else F.col(f"old.{c}")
+            changed = fresh if c in rows.columns and c not in keys else F.col(f"old.{c}")
         else:
             changed = _value(changes[c]).cast(df.schema[c].dataType) if c in changes else F.col(f"old.{c}")
         out.append(F.when(there & given, changed).when(there, F.col(f"old.{c}")).otherwise(fresh).alias(c))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,19 +50,73 @@ def most_common(df: DataFrame, column: str, top: int = 3) -> DataFrame:
     return best.crossJoin(F.broadcast(total)).select("value", (F.col("count") / F.col("total")).alias("freq"))  # one row beside few
 
 
-def histogram(df: DataFrame, column: str, prefix: int = 3) -> DataFrame:
-    """The least, the middle and the greatest value of those that aren't null, as texts in order of text.
+def counted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """attname, value (as text, null where it is), count: one pass over the table for all columns."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("attname"), F.col(c).cast("string").alias("value")) for c in columns)))
+    return df.select(each.alias("x")).groupBy("x.attname", "x.value").agg(F.count(F.lit(1)).alias("count"))
 
-    Values are counted first.  The element in the middle (number floor(n/2) from 0) lies in one range of values
-    with the same first characters: running counts over those ranges find it, and only its values are ranked.
+
+def _common_prefix(a: Column, b: Column) -> Column:
+    """The number of leading characters that two texts share."""
+    return F.size(F.filter(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))) - 1
+
+
+def middles(counts: DataFrame, by: str = "attname", levels: int = 2) -> DataFrame:
+    """by, middle: of each group's values that aren't null, with their counts, the one in the middle (number floor(n/2) from 0).
+
+    Ranges of values are those with the same two characters behind what all of a group's values begin with.  Running
+    counts over the ranges find the one with the middle; its values are cut into ranges in the same way, and the values of
+    the range found last are ranked.
     """
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).count().withColumn("start", F.substring("value", 1, prefix))
-    ranges = values.groupBy("start").agg(F.sum("count").alias("held"), F.min("value").alias("low"), F.max("value").alias("high"))
-    upto = F.sum("held").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("held").over(Window.partitionBy())
-    middle = ranges.select("start", (upto - F.col("held")).alias("before"), "held", F.floor(total / 2).alias("at"))
-    middle = middle.where((F.col("before") <= F.col("at")) & (F.col("before") + F.col("held") > F.col("at"))).select("start", "before", "at")
-    ranked = values.join(F.broadcast(middle), "start").withColumn("upto", F.col("before") + F.sum("count").over(Window.partitionBy("start").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)))  # one range
-    found = ranked.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("count") <= F.col("at"))).agg(F.min("value").alias("middle"))
-    ends = ranges.agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return ends.crossJoin(F.broadcast(found)).select("low", "middle", "high")  # one row each
+    values = counts.where(F.col("value").isNotNull())
+    at = values.groupBy(by).agg(F.floor(F.sum("count") / 2).alias("at"))
+    for _ in range(levels):
+        ends = values.groupBy(by).agg(F.min("value").alias("low"), F.max("value").alias("high")).select(by, _common_prefix(F.col("low"), F.col("high")).alias("lead"))
+        cut = values.join(ends, by).withColumn("start", F.substring("value", F.col("lead") + 1, F.lit(2)))
+        ranges = cut.groupBy(by, "start").agg(F.sum("count").alias("held"))
+        upto = F.sum("held").over(Window.partitionBy(by).orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        found = ranges.withColumn("upto", upto).join(at, by).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("held") <= F.col("at")))
+        found = found.select(by, "start", (F.col("at") - F.col("upto") + F.col("held")).alias("at"))
+        values, at = cut.join(found.select(by, "start"), [by, "start"], "left_semi").select(by, "value", "count"), found.select(by, "at")
+    upto = F.sum("count").over(Window.partitionBy(by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = values.withColumn("upto", upto).join(at, by)
+    return ranked.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("count") <= F.col("at"))).select(by, F.col("value").alias("middle"))
+
+
+def histogram(df: DataFrame, column: str) -> DataFrame:
+    """The least, the middle and the greatest value of those that aren't null, as texts in order of text: one row."""
+    counts = counted(df, [column])
+    ends = counts.groupBy("attname").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return ends.join(middles(counts), "attname", "left").select("low", "middle", "high")
+
+
+def fixed_widths(df: DataFrame, columns: Sequence[str]) -> dict[str, int | None]:
+    """Bytes of each column's values; None where they differ."""
+    kinds = {c: df.schema[c].dataType for c in columns}
+    return {c: None if isinstance(k, (T.StringType, T.BinaryType)) else 1 if isinstance(k, T.BooleanType) else 8 for c, k in kinds.items()}
+
+
+def all_stats(df: DataFrame, columns: Sequence[str], top: int = 3) -> DataFrame:
+    """A row per column: attname, null_frac, avg_width, n_distinct, the most common values with their shares of all that
+    aren't null, and the histogram's bounds.  One pass over the table; a column's values meet as counts."""
+    return stats_of_counts(counted(df, columns), fixed_widths(df, columns), top)
+
+
+def stats_of_counts(counts: DataFrame, fixed: Mapping[str, int | None], top: int = 3) -> DataFrame:
+    """The same from counted values of the columns in ``fixed``."""
+    there = F.col("value").isNotNull()
+    n = F.coalesce(F.sum(F.when(there, F.col("count"))), F.lit(0))
+    base = counts.groupBy("attname").agg(
+        n.alias("n"), F.sum("count").alias("rows"), F.count("value").alias("n_distinct"), F.sum(F.octet_length("value") * F.col("count")).alias("bytes"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+    place = F.row_number().over(Window.partitionBy("attname").orderBy(F.desc("count"), "value"))
+    best = counts.where(there).withColumn("place", place).where(F.col("place") <= top).groupBy("attname").agg(F.sort_array(F.collect_list(F.struct("place", "value", "count"))).alias("best"))
+    named = counts.sparkSession.createDataFrame(list(fixed.items()), "attname string, fixed int")
+    whole = named.join(base, "attname", "left").join(best, "attname", "left").join(middles(counts), "attname", "left")
+    share = F.transform("best", lambda x: (x["count"] / F.col("n")).cast("string"))
+    width = F.when(F.col("n") > 0, F.coalesce(F.col("fixed").cast("double"), F.col("bytes") / F.col("n"))).otherwise(F.lit(0.0))
+    text = lambda a: F.concat(F.lit("{"), F.array_join(a, ","), F.lit("}"))
+    return whole.select(
+        "attname", F.coalesce(1 - F.col("n") / F.col("rows"), F.lit(0.0)).alias("null_frac"), width.alias("avg_width"), F.coalesce("n_distinct", F.lit(0)).cast("bigint").alias("n_distinct"),
+        text(F.coalesce(F.col("best.value"), F.array())).alias("most_common_vals"), text(F.coalesce(share, F.array())).alias("most_common_freqs"), text(F.array_compact(F.array("low", "middle", "high"))).alias("histogram_bounds"),
+    )

@@ -1,72 +1,62 @@
-"""Managed tables: Parquet versions behind a pointer, committed optimistically.
+"""Managed tables: folders of Parquet files that the tenant's log names, committed optimistically.
 
-A table is a folder of versions ``v0, v1, ...`` and a pointer file for each committed version.  A write makes the
-next version's folder and then creates its pointer; creating a file that exists fails, so of two writers that
-started from the same version one gets a conflict.  Readers pin a version and never see a half-written one.
-All file access goes through Hadoop's FileSystem, so tables may lie in any store that Spark can write.
+A write makes a folder of its own and then commits; readers pin a version and never see a half-written one.  An append
+writes only its rows and keeps the older folders, until there are many, which it then writes together.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from granary.sources.log import ConflictError, TenantLog
 
-class ConflictError(RuntimeError):
-    """Another writer committed first."""
+__all__ = ["ConflictError", "ManagedTable"]
 
 
 class ManagedTable:
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    #: An append to a table of so many folders writes all of its rows anew.
+    MOST_FOLDERS = 64
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
-
-    def _names(self, folder: str) -> list[str]:
-        fs, where = self._fs(folder)
-        return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, log: TenantLog):
+        self.spark, self.path, self.schema, self.log = spark, path.rstrip("/"), schema, log
+        self.name = self.path.rpartition("/")[2]
 
     def version(self) -> int:
         """The last committed version; -1 before the first."""
-        return max((int(n) for n in self._names(f"{self.path}/commits") if n.isdigit()), default=-1)
-
-    def _folder(self, version: int) -> str:
-        fs, where = self._fs(f"{self.path}/commits/{version}")
-        stream = fs.open(where)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        return self.log.table(self.name)[0]
 
     def read(self, version: int | None = None) -> DataFrame:
-        at = self.version() if version is None else version
-        if at < 0:
+        """The rows of a version, the last one by default."""
+        at, folders = self.log.table(self.name)
+        return self.rows(folders if version in (None, at) else [] if version < 0 else self.log.folders_at(self.name, version))
+
+    def rows(self, folders: Sequence[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
         # Added columns are missing in older files and read as null.
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{self._folder(at)}")
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/data/{f}" for f in folders))
 
-    def commit(self, rows: DataFrame, base: int) -> int:
-        """Writes ``rows`` as the version after ``base``."""
+    def write(self, rows: DataFrame, base: int) -> str:
+        """Writes rows to a folder that nobody reads before it is committed; returns its name."""
         folder = f"v{base + 1}-{uuid.uuid4().hex[:12]}"
         rows.write.parquet(f"{self.path}/data/{folder}")
-        if self.version() != base:
-            raise ConflictError(f"{self.path}: version {base} is no longer the last")
-        fs, where = self._fs(f"{self.path}/commits/{base + 1}")
-        try:
-            stream = fs.create(where, False)
-        except Exception as e:
-            raise ConflictError(f"{self.path}: version {base + 1} exists") from e
-        try:
-            stream.write(folder.encode())
-        finally:
-            stream.close()
+        return folder
+
+    def commit(self, rows: DataFrame, base: int) -> int:
+        """Makes ``rows`` the version after ``base``."""
+        self.log.commit({self.name: (base, [self.write(rows, base)])})
         return base + 1
 
+    def appended(self, rows: DataFrame, base: int, folders: Sequence[str]) -> list[str]:
+        """The folders of the version after ``base`` that has these rows besides its own."""
+        if len(folders) >= self.MOST_FOLDERS:
+            return [self.write(self.rows(folders).unionByName(rows), base)]
+        return [*folders, self.write(rows, base)]
+
     def drop(self) -> None:
-        fs, where = self._fs(self.path)
+        fs, where = self.log._fs(self.path)
         fs.delete(where, True)
