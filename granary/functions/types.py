@@ -15,13 +15,14 @@ TYPES: dict[str, T.DataType] = {
     "real": T.FloatType(), "double": T.DoubleType(), "numeric": T.DecimalType(38, 18), "boolean": T.BooleanType(),
     "date": T.DateType(), "timestamp": T.TimestampNTZType(), "json": T.StringType(), "jsonb": T.StringType(),
     "uuid": T.StringType(), "binary": T.BinaryType(),
+    "real[]": T.ArrayType(T.FloatType()), "double[]": T.ArrayType(T.DoubleType()), "text[]": T.ArrayType(T.StringType()),
     "serial": T.IntegerType(), "bigserial": T.LongType(), "smallserial": T.ShortType(),
 }
 #: Other spellings.
 ALIASES = {
     "int2": "smallint", "int4": "integer", "int": "integer", "int8": "bigint", "float4": "real", "float8": "double", "double precision": "double",
     "bool": "boolean", "bpchar": "char", "character": "char", "character varying": "varchar", "decimal": "numeric", "bytea": "binary",
-    "timestamp without time zone": "timestamp", "serial4": "serial", "serial8": "bigserial", "serial2": "smallserial",
+    "float4[]": "real[]", "float8[]": "double[]", "timestamp without time zone": "timestamp", "serial4": "serial", "serial8": "bigserial", "serial2": "smallserial",
 }
 SERIAL = frozenset(("serial", "bigserial", "smallserial"))
 _SIZED = re.compile(r"^([a-z0-9_ ]+?)\s*\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)$")
@@ -47,12 +48,17 @@ def spark_type(declared: str) -> T.DataType:
     return TYPES[name]
 
 
+def _dashed(uuid: Column) -> Column:
+    """A UUID as PostgreSQL shows it."""
+    return F.regexp_replace(F.lower(F.regexp_replace(uuid, "-", "")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
 def convert(value: Column, declared: str) -> Column:
     """A value on its way into a column of this type: errors out of range, as the engine's inserts do."""
     name, sizes = name_of(declared)
     if name == "uuid":
         text = F.nullif(F.trim(value.cast("string")), F.lit(""))
-        return F.when(text.isNull() | text.rlike(_UUID), F.lower(text)).otherwise(F.raise_error(F.concat(F.lit("invalid uuid: "), text)))
+        return F.when(text.isNull() | text.rlike(_UUID), _dashed(text)).otherwise(F.raise_error(F.concat(F.lit("invalid uuid: "), text)))
     if name in ("varchar", "char") and sizes:
         text = value.cast("string")
         return F.when(text.isNull() | (F.length(text) <= sizes[0]), text).otherwise(F.raise_error(F.lit(f"value too long for {declared}")))
@@ -66,7 +72,7 @@ def try_convert(value: Column, declared: str) -> Column:
     name, _ = name_of(declared)
     if name == "uuid":
         text = F.trim(value.cast("string"))
-        return F.when(text.rlike(_UUID), F.lower(text))
+        return F.when(text.rlike(_UUID), _dashed(text))
     if name in ("json", "jsonb"):
         return F.to_json(F.try_parse_json(value.cast("string")))
     return value.try_cast(spark_type(declared))
