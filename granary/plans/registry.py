@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.scalars import amount_sum
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -45,14 +47,14 @@ def oracle_sql() -> dict[str, str]:
 )
 def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz '1995-01-01' and o_orderdate < timestamp_ntz '1996-01-01'")
-    revenue = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).cast("decimal(18,4)")
+    revenue = amount_sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
     return (
         table(spark, sf_dir, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy("n_name")
-        .agg(F.sum(revenue).alias("revenue"), F.count(F.lit(1)).alias("n_lines"))
+        .agg(revenue.alias("revenue"), F.count(F.lit(1)).alias("n_lines"))
         .orderBy(F.desc("revenue"), "n_name")
         .limit(10)
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import scalars, types
@@ -34,11 +34,7 @@ def q(name: str, sql: str, make: Callable[[Tables], DataFrame]) -> None:
     register(name, sql)(lambda spark, folder: make(Tables(spark, folder)))
 
 
-def money(column: Column) -> Column:
-    """Amounts as decimals, so that sums don't depend on the order of rows."""
-    return F.round(column, 4).cast("decimal(18,4)")
-
-
+#: Amounts as decimals, so that sums don't depend on the order of rows.
 _M = "CAST(round({0}, 4) AS DECIMAL(18, 4))".format
 
 # Scans.
@@ -102,14 +98,6 @@ q("join_right", f"SELECT n_name, s_suppkey FROM ({_RICH}) RIGHT JOIN nation ON n
 q("join_full", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey", lambda t: joins.equi(t.customer.where("c_acctbal > 0"), t.orders.where("o_orderstatus = 'P'"), [("c_custkey", "o_custkey")], "full").select("c_custkey", "o_orderkey"))
 q("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", lambda t: joins.equi(t.customer, t.orders.where("o_totalprice > 300000"), [("c_custkey", "o_custkey")], "left_semi").select("c_custkey"))
 q("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)", lambda t: joins.equi(t.customer, t.orders.where("o_totalprice > 200000"), [("c_custkey", "o_custkey")], "left_anti").select("c_custkey"))
-q("join_null_keys", "SELECT a.c_custkey, b.c_custkey AS other FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer WHERE c_custkey < 100) a JOIN (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer WHERE c_custkey < 100) b ON a.k = b.k", lambda t: _null_keys(t))
-
-
-def _null_keys(t: Tables) -> DataFrame:
-    side = t.customer.where("c_custkey < 100").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("k"))
-    return side.join(side.select(F.col("c_custkey").alias("other"), F.col("k").alias("k2")), F.col("k") == F.col("k2")).select("c_custkey", "other")
-
-
 q(
     "join_null_keys_whole",
     "SELECT o_orderkey, c_custkey FROM (SELECT o_orderkey, nullif(o_custkey, 7) AS k FROM orders) JOIN (SELECT c_custkey, nullif(c_custkey, 7) AS k2 FROM customer) ON k = k2",
@@ -121,13 +109,13 @@ q("join_hash", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part
 q(
     "join_multiway",
     f"SELECT r_name, n_name, count(*) AS n_orders, sum({_M('o_totalprice')}) AS total FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey GROUP BY r_name, n_name",
-    lambda t: joins.chain([t.region, t.nation, t.customer, t.orders], [[("r_regionkey", "n_regionkey")], [("n_nationkey", "c_nationkey")], [("c_custkey", "o_custkey")]]).groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("n_orders"), F.sum(money(F.col("o_totalprice"))).alias("total")),
+    lambda t: joins.chain([t.region, t.nation, t.customer, t.orders], [[("r_regionkey", "n_regionkey")], [("n_nationkey", "c_nationkey")], [("c_custkey", "o_custkey")]]).groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("n_orders"), scalars.amount_sum(F.col("o_totalprice")).alias("total")),
 )
 q("join_comma", "SELECT s_name, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey AND s_acctbal > 3000", lambda t: t.sql("SELECT s_name, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey AND s_acctbal > 3000", supplier=t.supplier, nation=t.nation))
 q(
     "left_join_groupby",
     f"SELECT n_name, count(s_suppkey) AS n_suppliers, sum({_M('s_acctbal')}) AS balance FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) ON n_nationkey = s_nationkey GROUP BY n_name",
-    lambda t: joins.equi(t.nation, t.supplier.where("s_acctbal > 5000"), [("n_nationkey", "s_nationkey")], "left").groupBy("n_name").agg(F.count("s_suppkey").alias("n_suppliers"), F.sum(money(F.col("s_acctbal"))).alias("balance")),
+    lambda t: joins.equi(t.nation, t.supplier.where("s_acctbal > 5000"), [("n_nationkey", "s_nationkey")], "left").groupBy("n_name").agg(F.count("s_suppkey").alias("n_suppliers"), scalars.amount_sum(F.col("s_acctbal")).alias("balance")),
 )
 q(
     "join_filter_topk",
@@ -146,32 +134,31 @@ q(
 q("agg_count_star", "SELECT count(*) AS n FROM lineitem", lambda t: t.lineitem.agg(F.count(F.lit(1)).alias("n")))
 q("agg_count_filter", "SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R'", lambda t: t.lineitem.where("l_returnflag = 'R'").agg(F.count(F.lit(1)).alias("n")))
 q("agg_count_col", f"SELECT count(segment) AS n, count(DISTINCT segment) AS n_distinct FROM ({_SEGMENT})", lambda t: _segments(t).agg(F.count("segment").alias("n"), F.count_distinct("segment").alias("n_distinct")))
-q("agg_sum", f"SELECT sum({_M('o_totalprice')}) AS total FROM orders", lambda t: t.orders.agg(F.sum(money(F.col("o_totalprice"))).alias("total")))
-q("agg_sum_empty", f"SELECT sum({_M('o_totalprice')}) AS total, count(*) AS n FROM orders WHERE o_orderkey < 0", lambda t: t.orders.where("o_orderkey < 0").agg(F.sum(money(F.col("o_totalprice"))).alias("total"), F.count(F.lit(1)).alias("n")))
+q("agg_sum", f"SELECT sum({_M('o_totalprice')}) AS total FROM orders", lambda t: t.orders.agg(scalars.amount_sum(F.col("o_totalprice")).alias("total")))
+q("agg_sum_empty", f"SELECT sum({_M('o_totalprice')}) AS total, count(*) AS n FROM orders WHERE o_orderkey < 0", lambda t: t.orders.where("o_orderkey < 0").agg(scalars.amount_sum(F.col("o_totalprice")).alias("total"), F.count(F.lit(1)).alias("n")))
 q("agg_avg", "SELECT round(avg(l_quantity), 6) AS mean FROM lineitem", lambda t: t.lineitem.agg(F.round(F.avg("l_quantity"), 6).alias("mean")))
 q("agg_max", "SELECT max(o_totalprice) AS high, max(o_orderpriority) AS last, max(o_orderkey) AS key FROM orders", lambda t: t.orders.agg(F.max("o_totalprice").alias("high"), F.max("o_orderpriority").alias("last"), F.max("o_orderkey").alias("key")))
 q("agg_min", "SELECT min(o_totalprice) AS low, min(o_orderpriority) AS first, min(o_orderkey) AS key FROM orders", lambda t: t.orders.agg(F.min("o_totalprice").alias("low"), F.min("o_orderpriority").alias("first"), F.min("o_orderkey").alias("key")))
-q("group_by_one", f"SELECT o_orderstatus, count(*) AS n, sum({_M('o_totalprice')}) AS total FROM orders GROUP BY o_orderstatus", lambda t: t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum(money(F.col("o_totalprice"))).alias("total")))
+q("group_by_one", f"SELECT o_orderstatus, count(*) AS n, sum({_M('o_totalprice')}) AS total FROM orders GROUP BY o_orderstatus", lambda t: t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), scalars.amount_sum(F.col("o_totalprice")).alias("total")))
 q(
     "group_by_multi",
     f"SELECT l_returnflag, l_linestatus, sum({_M('l_quantity')}) AS qty, sum({_M('l_extendedprice * (1 - l_discount)')}) AS revenue, round(avg(l_discount), 6) AS discount, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus",
-    lambda t: t.lineitem.where("l_shipdate <= timestamp_ntz '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum(money(F.col("l_quantity"))).alias("qty"), F.sum(money(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"), F.count(F.lit(1)).alias("n")),
+    lambda t: t.lineitem.where("l_shipdate <= timestamp_ntz '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(scalars.amount_sum(F.col("l_quantity")).alias("qty"), scalars.amount_sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"), F.count(F.lit(1)).alias("n")),
 )
 q("group_by_null", f"SELECT segment, count(*) AS n FROM ({_SEGMENT}) GROUP BY segment", lambda t: _segments(t).groupBy("segment").agg(F.count(F.lit(1)).alias("n")))
-q("group_by_date", f"SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum({_M('value')}) AS total FROM events GROUP BY ALL", lambda t: t.events.groupBy(scalars.date_of(F.col("ts")).alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(money(F.col("value"))).alias("total")))
+q("group_by_date", f"SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum({_M('value')}) AS total FROM events GROUP BY ALL", lambda t: t.events.groupBy(scalars.date_of(F.col("ts")).alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), scalars.amount_sum(F.col("value")).alias("total")))
 q("group_by_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12", lambda t: builder.Query(t.orders).group_by("o_custkey").agg(F.count(F.lit(1)).alias("n")).having("n > 12").dataframe())
 q("distinct", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer", lambda t: t.customer.select("c_nationkey", "c_mktsegment").distinct())
 q("grouping_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", lambda t: t.lineitem.rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n")))
+q("grouping_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", lambda t: t.lineitem.cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n")))
+q("grouping_sets", "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_nationkey), (c_mktsegment), ())", lambda t: t.sql("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_nationkey), (c_mktsegment), ())", customer=t.customer))
+q("agg_filter", "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS many, max(l_tax) FILTER (WHERE l_linestatus = 'O') AS tax FROM lineitem GROUP BY l_returnflag", lambda t: t.sql("SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS many, max(l_tax) FILTER (WHERE l_linestatus = 'O') AS tax FROM lineitem GROUP BY l_returnflag", lineitem=t.lineitem))
+q("agg_distinct_by_group", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(*) AS n FROM orders GROUP BY o_orderpriority", lambda t: t.orders.groupBy("o_orderpriority").agg(F.count_distinct("o_custkey").alias("customers"), F.count(F.lit(1)).alias("n")))
 q("default_aggregate_name", 'SELECT count(*) AS "count(*)" FROM nation', lambda t: builder.Query(t.nation).agg(F.count(F.lit(1)).alias("count(*)")).dataframe())
 
 # Sort, limit, sets, windows.
 
 q("sort_asc", "SELECT c_custkey, c_name FROM customer ORDER BY c_name", lambda t: builder.run(t.customer, QueryOptions(["c_custkey", "c_name"], order=["c_name"])))
-q("sort_desc", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50", lambda t: builder.run(t.customer, QueryOptions(["c_custkey", "c_acctbal"], order=["c_acctbal desc", "c_custkey"], limit=50)))
-q("sort_multi", "SELECT c_mktsegment, c_acctbal, c_custkey FROM customer ORDER BY c_mktsegment ASC, c_acctbal DESC, c_custkey LIMIT 100", lambda t: builder.run(t.customer, QueryOptions(["c_mktsegment", "c_acctbal", "c_custkey"], order=["c_mktsegment", "c_acctbal desc", "c_custkey"], limit=100)))
-q("sort_nulls", f"SELECT * FROM ({_SEGMENT}) ORDER BY segment DESC NULLS FIRST, c_custkey LIMIT 40", lambda t: _segments(t).orderBy(order_of("segment desc"), order_of("c_custkey")).limit(40))
-q("sort_nulls_last", f"SELECT * FROM ({_SEGMENT}) WHERE c_custkey < 60 ORDER BY segment ASC NULLS LAST, c_custkey OFFSET 20 LIMIT 30", lambda t: builder.run(_segments(t).where("c_custkey < 60"), QueryOptions(order=["segment", "c_custkey"], offset=20, limit=30)))
-# Whole sorts: those above stop at a number of rows.
 q("sort_desc_whole", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey", lambda t: builder.run(t.customer, QueryOptions(["c_custkey", "c_acctbal"], order=["c_acctbal desc", "c_custkey"])))
 q("sort_multi_whole", "SELECT c_mktsegment, c_acctbal, c_custkey FROM customer ORDER BY c_mktsegment ASC, c_acctbal DESC, c_custkey", lambda t: builder.run(t.customer, QueryOptions(["c_mktsegment", "c_acctbal", "c_custkey"], order=["c_mktsegment", "c_acctbal desc", "c_custkey"])))
 q("sort_nulls_whole", f"SELECT * FROM ({_SEGMENT}) ORDER BY segment DESC NULLS FIRST, c_custkey", lambda t: _segments(t).orderBy(order_of("segment desc"), order_of("c_custkey")))
@@ -188,14 +175,41 @@ q(
     lambda t: t.orders.withColumn("rn", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("bigint")).where("rn <= 3").select("o_custkey", "o_orderkey", "o_totalprice", "rn"),
 )
 
+q(
+    "window_ranks",
+    "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS place, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS dense, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS quarter FROM customer",
+    lambda t: t.customer.select("c_custkey", *(f.over(Window.partitionBy("c_nationkey").orderBy(o)).cast("bigint").alias(n) for f, o, n in ((F.rank(), "c_mktsegment", "place"), (F.dense_rank(), "c_mktsegment", "dense"), (F.ntile(4), "c_custkey", "quarter")))),
+)
+
+
+def _by_user():
+    return Window.partitionBy("user_id").orderBy("event_id")
+
+
+q(
+    "window_lag",
+    "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before, lead(event_id, 2, -1) OVER (PARTITION BY user_id ORDER BY event_id) AS later, first_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS first FROM events",
+    lambda t: t.events.select("event_id", F.lag("event_type").over(_by_user()).alias("before"), F.lead("event_id", 2, -1).over(_by_user()).alias("later"), F.first("event_id").over(_by_user()).alias("first")),
+)
+q(
+    "window_frame",
+    "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS near, count(*) OVER (PARTITION BY user_id) AS every FROM events",
+    lambda t: t.events.select("event_id", F.sum("event_id").over(_by_user().rowsBetween(-2, 0)).alias("near"), F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("every")),
+)
+
 # Scalars and casts.
 
 q("fn_date", "SELECT event_id, CAST(ts AS DATE) AS day FROM events", lambda t: t.events.select("event_id", scalars.date_of(F.col("ts")).alias("day")))
-q("expr_arith", "SELECT s_suppkey, round(s_acctbal * 1.1, 2) AS raised, round(s_acctbal - 100, 2) AS less FROM supplier", lambda t: t.supplier.select("s_suppkey", F.round(F.col("s_acctbal") * 1.1, 2).alias("raised"), F.round(F.col("s_acctbal") - 100, 2).alias("less")))
+q("expr_arith", "SELECT s_suppkey, round(s_acctbal * 1.1, 2) AS raised, round(s_acctbal - 100, 2) AS less FROM supplier", lambda t: t.supplier.select("s_suppkey", scalars.round_half_away(F.col("s_acctbal") * 1.1, 2).alias("raised"), scalars.round_half_away(F.col("s_acctbal") - 100, 2).alias("less")))
 q("cast_num_str", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS text FROM orders", lambda t: t.orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("text")))
 q("cast_str_num", "SELECT p_partkey, TRY_CAST(substr(p_brand, 7) AS INTEGER) AS number, TRY_CAST(p_type AS DOUBLE) AS none FROM part", lambda t: t.part.select("p_partkey", types.try_convert(F.substring("p_brand", 7, 100), "integer").alias("number"), types.try_convert(F.col("p_type"), "double").alias("none")))
 q("cast_bool", "SELECT c_custkey, CAST(CASE WHEN c_acctbal > 0 THEN 'yes' ELSE 'no' END = 'yes' AS BOOLEAN) AS active FROM customer", lambda t: t.customer.select("c_custkey", scalars.boolean_of(F.when(F.col("c_acctbal") > 0, "yes").otherwise("no")).alias("active")))
 q("cast_ts", "SELECT event_id, CAST(strftime(ts, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS at FROM events", lambda t: t.events.select("event_id", types.convert(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "timestamp").alias("at")))
+q("cast_uuid", "SELECT c_custkey, CAST(CAST(md5(c_name) AS UUID) AS VARCHAR) AS id FROM customer", lambda t: t.customer.select("c_custkey", types.convert(F.md5("c_name"), "uuid").alias("id")))
+q("cast_binary", "SELECT c_custkey, hex(encode(c_name)) AS bytes, c_name AS back FROM customer", lambda t: t.customer.withColumn("b", types.convert(F.col("c_name"), "binary")).select("c_custkey", F.hex("b").alias("bytes"), types.convert(F.col("b"), "text").alias("back")))
+q("cast_json", "SELECT event_id, CAST(json(props) AS VARCHAR) AS props FROM events", lambda t: t.events.select("event_id", types.convert(F.col("props"), "jsonb").alias("props")))
+q("cast_date_str", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(strftime(o_orderdate, '%Y-%m-%d') AS DATE) AS back FROM orders", lambda t: t.orders.select("o_orderkey", types.convert(F.to_date("o_orderdate"), "text").alias("day"), types.convert(F.date_format("o_orderdate", "yyyy-MM-dd"), "date").alias("back")))
+q("fn_now", "SELECT now() > TIMESTAMP '2020-01-01' AS later, current_date > DATE '2020-01-01' AS day_later", lambda t: t.sql("SELECT now() > timestamp '2020-01-01' AS later, current_date > date '2020-01-01' AS day_later"))
 q("json_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", lambda t: t.events.select("event_id", scalars.json_value(F.col("props"), "$.k").cast("bigint").alias("k")))
 q("json_filter", "SELECT count(*) AS n FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 50", lambda t: t.events.where(scalars.json_value(F.col("props"), "$.k").cast("bigint") > 50).agg(F.count(F.lit(1)).alias("n")))
 q("type_valid", "SELECT p_partkey, TRY_CAST(p_size AS SMALLINT) IS NOT NULL AS ok, TRY_CAST(p_name AS INTEGER) IS NOT NULL AS number FROM part", lambda t: t.part.select("p_partkey", types.is_valid(F.col("p_size"), "smallint").alias("ok"), types.is_valid(F.col("p_name"), "integer").alias("number")))
@@ -209,7 +223,7 @@ _DAY = f"SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum({_M('val
 
 
 def _daily(t: Tables, where: str) -> DataFrame:
-    return t.events.where(where).groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(money(F.col("value"))).alias("total"))
+    return t.events.where(where).groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), scalars.amount_sum(F.col("value")).alias("total"))
 
 
 q(

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.scalars import amount_sum
 from granary.plans.registry import register, table
 
 
-def _value() -> Column:
-    """Decimals, so that sums don't depend on the order of rows."""
-    return F.round("value", 4).cast("decimal(18,4)")
-
-
 def daily(events: DataFrame) -> DataFrame:
-    return events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(_value()).alias("total"))
+    return events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), amount_sum(F.col("value")).alias("total"))
 
 
 def daily_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """A stream's daily totals; a day is closed once events ``late`` past its end have come."""
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    sums = stamped.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(_value()).alias("total"))
+    sums = stamped.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), amount_sum(F.col("value")).alias("total"))
     return sums.select(F.to_date("w.start").alias("day"), "event_type", "n", "total")
 
 

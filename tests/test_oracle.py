@@ -1,4 +1,4 @@
-"""Every registered query that has SQL, against DuckDB on the smallest tables."""
+"""Every registered query that has SQL, against DuckDB on two sizes of the tables."""
 
 import math
 import os
@@ -6,19 +6,24 @@ import os
 import duckdb
 import pytest
 
-from granary.plans import registry, relational, system  # noqa: F401
+from granary.plans import managed, registry, relational, system  # noqa: F401
 from granary.streaming import rollup  # noqa: F401
 
-SF = "/root/testdata/sf0.001"
+SIZES = ("/root/testdata/sf0.001", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are missing")
+pytestmark = pytest.mark.skipif(not all(map(os.path.isdir, SIZES)), reason="test tables are missing")
+
+
+@pytest.fixture(scope="module", params=SIZES, ids=lambda s: s.rpartition("/")[2])
+def size(request):
+    return request.param
 
 
 @pytest.fixture(scope="module")
-def duck():
+def duck(size):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{size}/{t}.parquet'")
     return c
 
 
@@ -32,16 +37,13 @@ def sorted_rows(columns, rows):
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
-def test_matches(spark, duck, name):
-    found = registry.queries()[name](spark, SF)
+def test_matches(spark, duck, size, name):
+    found = registry.queries()[name](spark, size)
     cursor = duck.execute(registry.oracle_sql()[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(found.columns)
     assert sorted_rows(found.columns, [tuple(r) for r in found.collect()]) == sorted_rows(columns, cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_runs(spark, name):
-    found = registry.queries()[name](spark, SF)
-    assert found.columns
-    found.collect()
+def test_every_query_has_sql():
+    assert set(registry.queries()) == set(registry.oracle_sql())
