@@ -7,8 +7,9 @@ values that nobody shares fill it first.  Collisions are counted on the whole si
 match threshold are confirmed on the full sets.
 
 A posting list is not expanded into pairs at once.  First every member meets the list's most central member; the
-links so confirmed join nodes into components.  Lists that hold several components are then merged in blocks,
-skipping pairs that are joined already, until no pair between different components is left untested.
+links so confirmed join nodes into components.  Lists that hold several components are then merged in blocks: the nodes
+outside of a list's largest component meet all others, skipping pairs that are joined already, until no pair between
+different components is left untested.
 """
 
 from __future__ import annotations
@@ -217,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(met.select(F.col("node").alias("a"), "b"), "links1")
     joined = components(links, scratch, "stars")
 
-    # Lists that still hold several components, in blocks of bounded rows and shingles.
+    # Lists that still hold several components.
     roots = posts.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = scratch.save(roots.select("token", "c", "node", "root", "size"), "roots")
     scratch.drop("posts")
@@ -225,40 +226,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = roots.join(open_lists, "token", "left_semi").join(nodes.select("node", "n", "sig"), "node").join(posted.select("node", "cs"), "node")
     rows = scratch.save(rows.select("token", "c", "node", "root", "size", "n", "sig", "cs"), "open")
     scratch.drop("roots", "posted")
-    weight = rows.groupBy("token").agg(F.sum("n").alias("weight"))
-    blocks = F.greatest(F.ceil(F.col("size") / _BLOCK), F.ceil(F.col("weight") / _BLOCK_SHINGLES)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = (
-        rows.join(weight, "token")
-        .withColumn("blocks", blocks)
-        .withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-        .select("token", F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), "mine", "c", "node", "root", "n", "sig", "cs")
-    )
-    dealt = spread.repartition("token", "b0", "b1").sortWithinPartitions("token", "b0", "b1", "mine", "node")
+    # A pair of two components has one node outside of the list's largest: those meet all, in blocks on either side.
+    sums = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("weight"))
+    sums = sums.groupBy("token").agg(F.max(F.struct("k", "weight", "root")).alias("most"), F.sum("k").alias("ks"), F.sum("weight").alias("weights"))
+    blocks = lambda k, weight: F.greatest(F.ceil(k / _BLOCK), F.ceil(weight / _BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sums = sums.select("token", F.col("most.root").alias("major"), blocks(F.col("ks"), F.col("weights")).alias("all_blocks"), blocks(F.col("ks") - F.col("most.k"), F.col("weights") - F.col("most.weight")).alias("minor_blocks"))
+    rows = rows.join(sums, "token").withColumn("minor", F.col("root") != F.col("major"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = rows.withColumns({"asks": F.lit(False), "b0": F.pmod(F.xxhash64("node"), F.col("all_blocks")).cast("int"), "b1": each("minor_blocks")})
+    asking = rows.where("minor").withColumns({"asks": F.lit(True), "b0": each("all_blocks"), "b1": F.pmod(F.xxhash64("node", F.lit(1)), F.col("minor_blocks")).cast("int")})
+    spread = held.unionByName(asking).select("token", "b0", "b1", "asks", "minor", "c", "node", "root", "n", "sig", "cs")
+    dealt = spread.repartition("token", "b0", "b1").sortWithinPartitions("token", "b0", "b1", "asks", "node")
 
     def merge(batches):
-        """Nodes of a block (or two) of a list with their partners in other components that agree often enough."""
+        """Nodes of a block that asks with their partners in other components, in another block, that agree often enough."""
         for t in _groups(batches, 3):
-            b0, b1, c = t.column("b0")[0].as_py(), t.column("b1")[0].as_py(), t.column("c")[0].as_py()
-            mine, node, root, n = (t.column(x).to_numpy() for x in ("mine", "node", "root", "n"))
+            c = t.column("c")[0].as_py()
+            asks, minor, node, root, n = (t.column(x).to_numpy() for x in ("asks", "minor", "node", "root", "n"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
             mask = np.zeros(sig.shape, bool)
             for i, cs in enumerate(t.column("cs").to_pylist()):
                 mask[i, cs] = True
-            names, at, count = np.unique(root, return_inverse=True, return_counts=True)
-            minor = np.flatnonzero(at != count.argmax())  # a pair of two components has one of these
-            rank = np.arange(len(node))
-            small = np.zeros(len(node), bool)
-            small[minor] = True
+            ask, have = np.flatnonzero(asks), np.flatnonzero(~asks)
             left, right = [], []
-            for start in range(0, len(minor), 32):
-                m = minor[start : start + 32]
-                fits = (root[m][:, None] != root) & (100 * np.minimum(n[m][:, None], n) >= percent * np.maximum(n[m][:, None], n))
-                fits &= ~small | (rank > m[:, None])  # each pair once
-                if b0 != b1:
-                    fits &= mine[m][:, None] != mine
+            for start in range(0, len(ask), 32):
+                a = ask[start : start + 32]
+                fits = (root[a][:, None] != root[have]) & (100 * np.minimum(n[a][:, None], n[have]) >= percent * np.maximum(n[a][:, None], n[have]))
+                fits &= ~minor[have] | (node[a][:, None] < node[have])  # each pair once
                 i, j = np.nonzero(fits)
-                i = m[i]
+                i, j = a[i], have[j]
                 for s in range(0, len(i), 20_000):
                     p, q = i[s : s + 20_000], j[s : s + 20_000]
                     same = sig[p] == sig[q]
@@ -269,11 +265,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     right.append(q[near])
             p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
             if len(p):
-                order = np.argsort(p, kind="stable")
-                own = np.union1d(p, q)
-                at = np.searchsorted(p[order], np.append(own, len(node)))
+                order = np.argsort(node[p], kind="stable")
+                p, q = p[order], q[order]
+                own, at = np.unique(node[np.concatenate([p, q])], return_index=True)
+                to = np.append(np.searchsorted(node[p], own), len(p)).astype(np.int32)
                 same = [pa.array([t.column(x)[0].as_py()] * len(own), pa.int64() if x == "token" else pa.int32()) for x in ("token", "b0", "b1")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(node[own]), pa.array(root[own]), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(node[q[order]]))], names=["token", "b0", "b1", "node", "root", "partners"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(own), pa.array(root[np.concatenate([p, q])[at]]), pa.ListArray.from_arrays(pa.array(to), pa.array(node[q]))], names=["token", "b0", "b1", "node", "root", "partners"])
 
     rest = scratch.save(map_arrow(dealt, merge, "token long, b0 int, b1 int, node long, root long, partners array<long>"), "rest")
     scratch.drop("open")
