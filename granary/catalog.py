@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.functions import types as kinds
+from granary.operators import statistics
 from granary.sources.log import TenantLog
 from granary.sources.tables import ConflictError, ManagedTable
 
@@ -147,6 +148,10 @@ class Catalog:
     def data(self, tenant: int, name: str) -> ManagedTable:
         return ManagedTable(self.spark, f"{self.root}/tenant={tenant}/{name}", self.table(tenant, name).schema(), self.log(tenant))
 
+    def stats(self, tenant: int, name: str) -> ManagedTable:
+        """What ANALYZE has stored about a table: a row per column."""
+        return ManagedTable(self.spark, f"{self.root}/tenant={tenant}/_stats/{name}", statistics.SCHEMA, self.log(tenant), f"_stats/{name}")
+
     def table(self, tenant: int, name: str) -> TableDef:
         try:
             return self.tenant(tenant).tables[name]
@@ -178,12 +183,13 @@ class Catalog:
             if if_exists:
                 return False
             raise KeyError(f"no table {name}")
-        data = self.data(tenant, name)
-        base = data.version()
+        gone = (self.data(tenant, name), self.stats(tenant, name))
+        bases = {data.name: (data.version(), None) for data in gone}
         del known.tables[name]
         known.indexes = {k: i for k, i in known.indexes.items() if i.table != name}
-        self.save(tenant, {name: (base, None)})
-        data.drop()
+        self.save(tenant, bases)
+        for data in gone:
+            data.drop()
         return True
 
     def _replace(self, tenant: int, table: TableDef, tables: Mapping[str, tuple[int, Sequence[str]]] | None = None) -> TableDef:

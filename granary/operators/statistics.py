@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: The columns of stored statistics.
+SCHEMA = T.StructType([
+    T.StructField("attname", T.StringType()), T.StructField("null_frac", T.DoubleType()), T.StructField("avg_width", T.DoubleType()), T.StructField("n_distinct", T.LongType()),
+    T.StructField("most_common_vals", T.StringType()), T.StructField("most_common_freqs", T.StringType()), T.StructField("histogram_bounds", T.StringType()),
+])
+
+
 def width_of(df: DataFrame, name: str) -> Column:
     """Bytes of a value: fixed for numbers, dates and booleans, the length for texts and bytes."""
     kind = df.schema[name].dataType

@@ -114,3 +114,10 @@ def _serial(engine: Engine) -> DataFrame:
     engine.query("CREATE TABLE numbered (id serial primary key, o_orderkey bigint)")
     engine.insert("numbered", engine.query("SELECT o_orderkey FROM orders").repartition(7))
     return engine.query("SELECT count(*) AS n, count(DISTINCT id) AS n_ids, CAST(min(id) AS BIGINT) AS low, CAST(max(id) AS BIGINT) AS high FROM numbered")
+
+
+@managed("managed_analyze", "SELECT 's_name' AS attname, 0.0::DOUBLE AS null_frac, count(DISTINCT s_name) AS n_distinct FROM supplier UNION ALL SELECT 's_nationkey', 0.0, count(DISTINCT s_nationkey) FROM supplier", ("supplier",))
+def _analyze(engine: Engine) -> DataFrame:
+    engine.query("ANALYZE supplier")
+    engine.query("DELETE FROM supplier")  # what was stored stays until the next time
+    return engine.query("SELECT attname, null_frac, n_distinct FROM pg_stats WHERE attname IN ('s_name', 's_nationkey')")

@@ -112,8 +112,10 @@ _system(
 def sys_pg_stats_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Common values and bounds of text columns, whose texts are the same in any engine."""
     wanted = {"customer": ["c_name", "c_mktsegment"], "part": ["p_type"], "orders": ["o_orderpriority"], "lineitem": ["l_returnflag"], "nation": ["n_name"], "documents": ["source"]}
-    parts = [statistics.all_stats(table(spark, folder, t), names).select(F.lit(t).alias("tablename"), "attname", F.round("avg_width", 6).alias("avg_width"), "most_common_vals", "histogram_bounds") for t, names in wanted.items()]
-    return reduce(DataFrame.union, parts)
+    counts = [statistics.counted(table(spark, folder, t), names).withColumn("attname", F.concat(F.lit(f"{t}."), F.col("attname"))) for t, names in wanted.items()]
+    found = statistics.stats_of_counts(reduce(DataFrame.union, counts), {f"{t}.{c}": None for t, names in wanted.items() for c in names})
+    name = F.split("attname", r"\.")
+    return found.select(name[0].alias("tablename"), name[1].alias("attname"), F.round("avg_width", 6).alias("avg_width"), "most_common_vals", "histogram_bounds")
 
 
 @register("fn_version", "SELECT 'granary 1.0 on Spark' AS version, 'granary' AS current_database, 'public' AS current_schema, 'granary' AS current_user")

@@ -21,9 +21,9 @@ class ManagedTable:
     #: An append to a table of so many folders writes all of its rows anew.
     MOST_FOLDERS = 64
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, log: TenantLog):
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, log: TenantLog, name: str | None = None):
         self.spark, self.path, self.schema, self.log = spark, path.rstrip("/"), schema, log
-        self.name = self.path.rpartition("/")[2]
+        self.name = name or self.path.rpartition("/")[2]  # in the log
 
     def version(self) -> int:
         """The last committed version; -1 before the first."""
