@@ -141,7 +141,7 @@ def _good(vector: Column) -> Column:
 
 def search(
     vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 20, rerank: int = 600,
-    books: int = 16, words: int = 256, beam: int = 8, sample_rows: int = 16_000, query_bytes: int = 16 << 20, page: int = 4_096, task_rows: int = 200_000,
+    books: int = 16, words: int = 256, beam: int = 8, sample_rows: int = 16_000, query_bytes: int = 16 << 20, page: int = 4_096, spread: int = 4,
 ) -> DataFrame:
     """Each query's ``k`` nearest other rows by inner product: query_id, rank (from 1), vec_id, score.
 
@@ -151,9 +151,10 @@ def search(
     the smallest id decides).  Rows that repeat an id count once (the least vector).
 
     The codebooks are fitted on ``sample_rows`` rows at most (those with the smallest hashes of their id); all
-    rows are encoded.  Queries are dealt into blocks of ``query_bytes``; each block meets all codes as pages of ``page``
-    codes, in tasks of ``task_rows`` codes (12 tasks at least); a task keeps the ``rerank`` best scores of each query (ties: any).  So a page
-    travels once a block, and what a task holds is bounded, whatever the table's size.  Other columns aren't read.
+    rows are encoded.  Queries are dealt into blocks of ``query_bytes`` at most (8 blocks of 256 queries, if there are as
+    many); each block meets all codes as pages of ``page`` codes, in ``spread`` tasks; a task keeps the ``rerank`` best
+    scores of each query (ties: any).  So a page travels once a block, candidates grow with the queries alone, and what
+    a task holds is bounded, whatever the table's size.  Other columns aren't read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "additive")
@@ -189,8 +190,8 @@ def search(
 
     coded = scratch.save(map_arrow(rows.select("id", "v"), pages, "ids binary, codes binary, factors binary, page long"), "codes")
     asked = rows.where("is_query").select("id", "v")
-    blocks = max(1, -(-asked.count() * 8 * first // query_bytes))
-    spread = max(12, -(-total // task_rows))
+    n_asked = asked.count()
+    blocks = max(1, -(-n_asked * 8 * first // query_bytes), min(8, n_asked // 256))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))
     # A block's queries go to each of its tasks, a page to one task of each block.
     sides = (

@@ -75,7 +75,7 @@ def test_blocks_and_tasks_change_nothing(spark):
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))], "vec_id long, embedding array<double>")
     options = {"k": 5, "rerank": 300, "books": 4, "words": 16}
     want = sorted(map(tuple, additive_quantization.search(vectors, F.col("vec_id") % 3 == 0, **options).collect()))
-    got = sorted(map(tuple, additive_quantization.search(vectors, F.col("vec_id") % 3 == 0, query_bytes=640, page=32, task_rows=10, **options).collect()))
+    got = sorted(map(tuple, additive_quantization.search(vectors, F.col("vec_id") % 3 == 0, query_bytes=640, page=32, spread=9, **options).collect()))
     assert [x[:3] for x in got] == [x[:3] for x in want] and len(want) == 500
 
 
