@@ -77,6 +77,20 @@ def whole(line: str) -> tuple[np.ndarray, np.ndarray]:
     return both[0], (both[1] >> np.uint64(32)).astype(np.uint32)
 
 
+def within_one(a: str, b: str) -> bool:
+    """Whether one edit at most parts two lines; in linear time, however long they are."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    low, high = 0, min(len(a), len(b))  # the length of the common beginning, by halving
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return a[low + (len(a) >= len(b)) :] == b[low + (len(b) >= len(a)) :]
+
+
 def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
 
@@ -189,13 +203,19 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = source.join(scratch.save(wanted, "wanted"), ["id", "row"]).select("id", "row", F.explode("places").alias("place"), "text")
     texts = texts.select("id", "row", "place", F.trim(F.element_at(F.split("text", "\n", -1), F.col("place") + 1), F.lit(" \t\r")).alias("line")).dropDuplicates(["id", "row", "place"])
     texts = scratch.save(texts, "texts")
-    near = (
+    both = (
         pairs.select("h", *(F.col(f"pos.{c}").alias(c) for c in ("id", "row", "place")), *(F.col(f"pos0.{c}").alias(f"{c}0") for c in ("id", "row", "place")), "pos0")
         .join(texts, ["id", "row", "place"])
         .join(texts.select(*(F.col(c).alias(f"{c}0") for c in ("id", "row", "place", "line"))), ["id0", "row0", "place0"])
-        .where(F.levenshtein("line", "line0", 1) >= 0)
-        .select("h", F.col("pos0").alias("near"))
+        .select("h", F.col("pos0").alias("near"), "line", "line0")
     )
+
+    def verified(batches):
+        for batch in batches:
+            fits = [within_one(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["h", "near"]).filter(pa.array(fits, pa.bool_()))
+
+    near = map_arrow(both, verified, f"h binary, near {order}")
     # A line's earliest kin: the same line's first place, or a near line's.
     near = scratch.save(near, "near")
     scratch.drop("pairs", "wanted", "texts")

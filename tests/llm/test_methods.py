@@ -255,6 +255,16 @@ def test_long_lines_and_texts(spark):
     assert got[2].n_dropped == 20_000 and got[2].n_lines == 20_001 and got[3].text == "other text"
 
 
+def test_one_edit_is_told_from_more():
+    from test_operators import within_one
+
+    rnd = random.Random(3)
+    for _ in range(3000):
+        a = "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 8)))
+        b = "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 8)))
+        assert line_dedup.within_one(a, b) == within_one(a, b)
+
+
 def test_variants_hash_what_is_left():
     line = "some line with 漢字 and é"
     v, w = line_dedup.deletions(line, 0, len(line))
