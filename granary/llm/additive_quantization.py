@@ -147,8 +147,8 @@ def search(
 
     ``queries`` selects the query rows; the candidates are all rows but the query's own id.  Nearest first, ties
     to the smaller id; all candidates, if there are fewer.  Vectors that are null, empty, zero or hold null or
-    non-finite components take no part, nor do null ids, nor vectors of another length than most (the length of
-    the smallest id decides).  Rows that repeat an id count once (the least vector).
+    non-finite components take no part, nor do null ids, nor vectors of another length than most (of two lengths as
+    common, the smaller one counts).  Rows that repeat an id count once (the least vector).
 
     The codebooks are fitted on ``sample_rows`` rows at most (those with the smallest hashes of their id); all
     rows are encoded.  Queries are dealt into blocks of ``query_bytes`` at most (8 blocks of 256 queries, if there are as
@@ -160,7 +160,8 @@ def search(
     scratch = Scratch(spark, "additive")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
     rows = rows.where(F.col("id").isNotNull() & _good(F.col("v")))
-    first = rows.agg(F.min_by(F.size("v"), F.struct("id", F.size("v"))).alias("d")).first()["d"]
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    first = lengths.agg(F.max_by("d", F.struct("n", -F.col("d"))).alias("d")).first()["d"]
     empty = "query_id long, rank int, vec_id long, score double"
     if first is None:
         return spark.createDataFrame([], empty)
