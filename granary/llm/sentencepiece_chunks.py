@@ -35,7 +35,7 @@ class ChunkTable:
     #: Bytes that an entry takes beside its characters: two strings and their place in the table, about.
     ENTRY = 250
 
-    def __init__(self, model: bytes, limit: int = 32 << 20):
+    def __init__(self, model: bytes, limit: int = 64 << 20):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -108,7 +108,7 @@ def pieces(text: str, size: int = SLICE_BYTES) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", *, ids: bool = False, decoded: bool = False, limit: int = 32 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", *, ids: bool = False, decoded: bool = False, limit: int = 64 << 20) -> DataFrame:
     """Encodes every whole text as the library does, without begin or end ids, and decodes the ids again.
 
     Returns id_col, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256, then on demand
