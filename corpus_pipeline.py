@@ -34,7 +34,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
     import public_tokenizers
 
-    return sentencepiece_chunks.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=True)
+    # Executors have grown by now: a smaller table of chunks than by default.
+    return sentencepiece_chunks.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=True, limit=16 << 20)
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("near dedup", drop_near_duplicates), ("mixing", mix_sources), ("encoding", encode)]
