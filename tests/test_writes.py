@@ -109,6 +109,17 @@ def test_appends_add_folders_until_there_are_many(engine, monkeypatch):
     assert engine.count("accounts") == 8
 
 
+def test_commit_numbers_are_taken_once(engine, spark):
+    log = engine.catalog.log(1)
+    number, state = log.latest()
+    assert not log._put(number, "{}")
+    assert log.latest() == (number, state)
+    fs, where = log._fs(f"{log.path}/.half")
+    fs.create(where, False).close()  # a writer that died
+    engine.query("INSERT INTO accounts VALUES (9, 9)")
+    assert engine.count("accounts") == 3 and log.latest()[0] == number + 1
+
+
 def test_truncate_and_prepared(engine):
     engine.query("PREPARE rich AS SELECT id FROM accounts WHERE balance >= $1")
     assert rows(engine.query("EXECUTE rich(100)")) == [(1,), (2,)]
