@@ -1,5 +1,7 @@
 """Writes by several writers, keys with nulls, repeated keys, ids over partitions, appends, definitions."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +149,46 @@ def test_middle_values(spark):
     assert (none.null_frac, none.n_distinct, none.histogram_bounds) == (1.0, 0, "{}")
     empty = statistics.all_stats(df.limit(0), ["v"]).first()
     assert (empty.null_frac, empty.n_distinct, empty.most_common_vals) == (0.0, 0, "{}")
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+def test_middles_of_odd_groups(spark, levels):
+    import random
+
+    rnd = random.Random(5)
+    long = "<!DOCTYPE html><html><head>" * 20
+    groups = {
+        "behind a long start": [long + str(rnd.random()) for _ in range(2000)],
+        "outliers": ["", "zz", long + "x"] + [long * 2 + str(rnd.random()) for _ in range(2000)],
+        "one often": ["é"] * 5000 + [f"{n:05d}" for n in range(2000)] + ["日本"] * 4999,
+        "two": ["b", "a"], "one": ["same"], "empty": [""], "starts": ["a" * n for n in range(400)], "nulls": [None] * 3,
+    }
+    df = spark.createDataFrame([(g, v, n) for g, vs in groups.items() for v, n in Counter(vs).items()], "attname string, value string, count long")
+    want = {g: sorted(vs, key=str.encode)[len(vs) // 2] for g, vs in groups.items() if vs[0] is not None}
+    assert {r.attname: r.middle for r in statistics.middles(df, levels=levels).collect()} == want
+
+
+def test_statistics_keep_a_column_spread(spark):
+    """No task of them reads a column's values alone, even if no table seems small enough to go to all tasks."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        df = spark.range(20_000).selectExpr("concat('<html>', sha2(cast(id as string), 256)) as page")
+        store = spark.sparkContext._jsc.sc().statusStore()
+        spark.sparkContext.setJobGroup("spread", "spread")
+        (got,) = statistics.all_stats(df, ["page"]).collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("spread") for s in tracker.getJobInfo(j).stageIds}
+        read = []
+        for s in stages:
+            tasks = store.taskList(s, 0, 1000)
+            read += [m.get().shuffleReadMetrics().recordsRead() for m in (tasks.apply(i).taskMetrics() for i in range(tasks.size())) if m.isDefined()]
+        assert got.n_distinct == 20_000 and len(read) > 16
+        assert max(read) < 3000, sorted(read)[-5:]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in was.items():
+            spark.conf.set(k, v)
